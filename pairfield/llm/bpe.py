@@ -15,10 +15,14 @@ rows repeat results, and an empty table gives an empty one.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from . import vocab
@@ -28,34 +32,125 @@ from .common import batch_of, text_pieces
 LONG_WORD, LEAF = 512, 128
 #: Tokens on either side of a join in the first window.
 FIRST_WINDOW = 4
+#: Bytes of texts that are split into words together; a longer text is taken in pieces.
+GROUP_BYTES = 8 << 20
+_WORDS_AND_BREAKS = regex.compile(vocab.WORD_PATTERN.pattern + r"|\n")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 class WordBpe:
-    """The ids and the decoded text of whole texts; remembers words."""
+    """Encodes whole texts, remembering words.
 
-    def __init__(self, path: str, long_word: int = LONG_WORD, leaf: int = LEAF, window: int = FIRST_WINDOW, limit: int = vocab.CACHE_WORDS):
+    render makes of the ids of words what is remembered for each, and join puts the values of a run
+    of words together. New words of a group of texts are encoded together: side by side in one
+    string, parted again after the tokens that end a word.
+    """
+
+    def __init__(self, path: str, render=list, join=lambda values: [x for v in values for x in v], long_word: int = LONG_WORD, leaf: int = LEAF, window: int = FIRST_WINDOW, limit: int = vocab.CACHE_WORDS):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = vocab.load(path)
         self.special = vocab.special_strings(self.tokenizer)
         self.split = vocab.splitter(self.special)
+        self.odd_texts = vocab.odd_pattern(self.special)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.model, self.mapped = self.tokenizer.model, vocab.byte_mapped()
+        self.model, self.render, self.join = self.tokenizer.model, render, join
+        self.visible = {b: c for b, c in enumerate(vocab.visible_bytes()) if b != 0x20}
+        self.side_by_side = Tokenizer(self.model)
+        self.side_by_side.pre_tokenizer = WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in model["vocab"].items() if self.end and t.endswith(self.end)]] = True
         #: The same merges without word ends, for the inner leaves of a long word.
         self._inner = (Tokenizer, BPE, model)
         self.long_word, self.leaf, self.window = long_word, leaf, window
-        self.words = vocab.Remembered(self._chunk, limit=limit)
-
-    def _chunk(self, chunk: str) -> list[int]:
-        """Ids of text without white space."""
-        out: list[int] = []
-        for word in vocab.WORD_PATTERN.findall(vocab.lowered(vocab.composed(chunk))):
-            out += self.word(self.mapped(word))
-        return out
+        self.words = vocab.Remembered(lambda word: (render([self.word(self.mapped(word))]))[0], limit=limit)
+        self.chunks = vocab.Remembered(lambda chunk: join([self.words[w] for w in vocab.WORD_PATTERN.findall(vocab.lowered(vocab.composed(chunk)))]), limit=limit)
+
+    def mapped(self, words: str) -> str:
+        """The visible bytes of words; the spaces between words stay."""
+        return words.encode().decode("latin-1").translate(self.visible)
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Remembers new chunks: text without white space. Most are one word; the others are split into words together."""
+        new = [c for c in self.chunks.room(chunks) if len(c) <= vocab.CACHE_CHARS]
+        one = [c for c in new if c.isalpha() and (c.isascii() or "Σ" not in c and c.lower().isalpha() and unicodedata.is_normalized("NFC", c))]
+        lower = list(map(str.lower, one))
+        rest = list(set(new).difference(one)) if len(one) < len(new) else []
+        parts = _WORDS_AND_BREAKS.findall(vocab.lowered(vocab.composed("\n".join(rest)))) + ["\n"] if rest else []
+        self._learn_words({*lower, *parts} - {"\n"})
+        value = self.words.__getitem__
+        self.chunks.update(zip(one, map(value, lower)))
+        at, held = iter(rest), []
+        for part in parts:
+            if part == "\n":
+                self.chunks[next(at)] = self.join(held)
+                held = []
+            else:
+                held.append(value(part))
+
+    def _learn_words(self, words: set[str]) -> None:
+        """Remembers new words, encoded side by side."""
+        new = [w for w in self.words.room(words) if len(w) <= vocab.CACHE_CHARS]
+        if not self.end:
+            return
+        lines = [self.mapped(" ".join(new[i : i + 512])) for i in range(0, len(new), 512)]
+        ids = [x for e in self.side_by_side.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids]
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) == len(new):  # else they are encoded one by one when asked for
+            self.words.update(zip(new, self.render(list(map(ids.__getitem__, map(slice, [0, *stops], stops))))))
+
+    def texts(self, column: pa.Array) -> Iterator[Iterable[list]]:
+        """For each text of a column its values, in lists of bounded length that follow each other."""
+        for simple, index, starts, chunks, texts in self.groups(column):
+            values = list(map(self.chunks.__getitem__, chunks))
+            for i, text in enumerate(texts):
+                if simple[i]:
+                    yield [[values[k] for k in index[starts[i] : starts[i + 1]].tolist()]]
+                else:
+                    yield self.odd(text.as_py())
+
+    def groups(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Array]]:
+        """Bounded parts of a column of texts: which texts are simple, then, for these, the numbers of their
+        chunks, where each text's numbers start, and the distinct chunks (which are learnt); and the texts."""
+        column = column.fill_null("")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(column):
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + GROUP_BYTES, "right")))
+            part = column.slice(start, stop - start)
+            long = sizes[start] - (sizes[start - 1] if start else 0) > GROUP_BYTES
+            simple = ~pc.match_substring_regex(part, self.odd_texts).to_numpy(zero_copy_only=False).astype(bool) & (not long)
+            lists = pc.utf8_split_whitespace(pc.if_else(pa.array(simple), part, ""))
+            found = lists.flatten().dictionary_encode()
+            chunks = found.dictionary.to_pylist()
+            self.learn(chunks)
+            yield simple, found.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), chunks, part
+            start = stop
+
+    def odd(self, text: str) -> Iterator[list]:
+        """The values of a text that holds special strings or unsettled characters, or is very long."""
+        for chunks, value in self._cuts(text):
+            self.learn(chunks)
+            yield list(map(self.chunks.__getitem__, chunks)) if value is None else [value]
+
+    def _cuts(self, text: str) -> Iterator[tuple[list[str], object]]:
+        """A text as chunks without white space, or as the value of a part that the library encodes whole."""
+        for i, part in enumerate(self.split.split(text) if self.split else [text]):
+            if i % 2:
+                yield [], self.render([[self.special[part]]])[0]
+                continue
+            for piece in text_pieces(part):
+                if not piece.isascii() and vocab.UNSETTLED.search(piece):
+                    if ids := self.tokenizer.encode(piece, add_special_tokens=False).ids:
+                        yield [], self.render([ids])[0]
+                elif not vocab.SEPARATORS.search(piece):
+                    yield piece.split(), None
+                else:
+                    yield [c for c in vocab.SPACES.split(piece) if c], None
 
     def word(self, mapped: str) -> list[int]:
         """Ids of one pre-token in its visible bytes."""
@@ -75,10 +170,10 @@ class WordBpe:
         parts.append([t.id for t in self.model.tokenize(leaves[-1])])
         while len(parts) > 1:
             last = len(parts) - 1
-            parts = [self.join(parts[i], parts[i + 1], i + 1 == last) if i < last else parts[i] for i in range(0, len(parts), 2)]
+            parts = [self.joined(parts[i], parts[i + 1], i + 1 == last) if i < last else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def join(self, left: list[int], right: list[int], ends: bool) -> list[int]:
+    def joined(self, left: list[int], right: list[int], ends: bool) -> list[int]:
         """The ids of the text of left and right together; ends: the word ends with right."""
         token, k = self.tokenizer.id_to_token, self.window
         while True:
@@ -92,55 +187,27 @@ class WordBpe:
                 return left[:-k] + got + right[k:]
             k *= 2
 
-    def segments(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text in pieces; the pieces have a bounded length unless a word is longer."""
-        for i, part in enumerate(self.split.split(text) if self.split else [text]):
-            if i % 2:
-                yield [self.special[part]]
-                continue
-            for piece in text_pieces(part):
-                if not piece.isascii() and vocab.UNSETTLED.search(piece):
-                    yield self.tokenizer.encode(piece, add_special_tokens=False).ids
-                    continue
-                yield from map(self.words.__getitem__, self.chunks(piece))
-
-    @staticmethod
-    def chunks(piece: str) -> list[str]:
-        return piece.split() if not vocab.SEPARATORS.search(piece) else [c for c in vocab.SPACES.split(piece) if c]
-
 
 class Digests:
-    """Counts and digests of a text's ids and of its decoded text, by words whose strings are remembered."""
+    """Counts and digests of texts' ids and of their decoded texts."""
 
     def __init__(self, path: str):
-        self.encoder = WordBpe(path)
-        self.words = vocab.Remembered(lambda chunk: self.strings(self.encoder._chunk(chunk)))
-
-    def strings(self, ids: list[int]) -> tuple[str, str, int]:
-        token = self.encoder.tokenizer.id_to_token
-        return " ".join(map(str, ids)), " ".join(map(token, ids)), len(ids)
+        self.encoder = WordBpe(path, self.strings, lambda values: (" ".join([v[0] for v in values]), " ".join([v[1] for v in values]), sum([v[2] for v in values])))
+        self.token = self.encoder.tokenizer.id_to_token
 
-    def parts(self, text: str) -> Iterator[list[tuple[str, str, int]]]:
-        e = self.encoder
-        for i, part in enumerate(e.split.split(text) if e.split else [text]):
-            if i % 2:
-                yield [self.strings([e.special[part]])]
-                continue
-            for piece in text_pieces(part):
-                if not piece.isascii() and vocab.UNSETTLED.search(piece):
-                    yield [self.strings(ids)] if (ids := e.tokenizer.encode(piece, add_special_tokens=False).ids) else []
-                else:
-                    yield list(map(self.words.__getitem__, e.chunks(piece)))
+    def strings(self, words: list[list[int]]) -> list[tuple[str, str, int]]:
+        return [(" ".join(map(str, ids)), " ".join(map(self.token, ids)), len(ids)) for ids in words]
 
-    def __call__(self, text: str | None) -> tuple[int, str, str]:
-        ids, decoded, n = sha256(), sha256(), 0
-        for values in self.parts(text or ""):
-            if values:
-                between = " " if n else ""
-                ids.update((between + " ".join([v[0] for v in values])).encode())
-                decoded.update((between + " ".join([v[1] for v in values])).encode())
-                n += sum([v[2] for v in values])
-        return n, ids.hexdigest(), decoded.hexdigest()
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, str, str]]:
+        for pieces in self.encoder.texts(column):
+            ids, decoded, n = sha256(), sha256(), 0
+            for values in pieces:
+                if values := [v for v in values if v[2]]:
+                    between = " " if n else ""
+                    ids.update((between + " ".join([v[0] for v in values])).encode())
+                    decoded.update((between + " ".join([v[1] for v in values])).encode())
+                    n += sum([v[2] for v in values])
+            yield n, ids.hexdigest(), decoded.hexdigest()
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +216,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = Digests(path)
         for batch in batches:
-            rows = [digest(t) for t in batch.column(1).to_pylist()]
+            rows = list(digest.texts(batch.column(1)))
             n, ids, decoded = map(list, zip(*rows)) if rows else ([], [], [])
             yield batch_of(_SCHEMA, doc_id=batch.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=decoded)
 
@@ -163,7 +230,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordBpe(path)
         for batch in batches:
-            yield batch_of(schema, doc_id=batch.column(0), ids=[[x for s in encoder.segments(t) for x in s] if t else [] for t in batch.column(1).to_pylist()])
+            yield batch_of(schema, doc_id=batch.column(0), ids=[[x for values in pieces for v in values for x in v] for pieces in encoder.texts(batch.column(1))])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pairfield/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -1,9 +1,10 @@
 """Token ids on disk as canonical, length-limited Huffman codes in independent blocks.
 
-Two passes over the text. The first counts the ids of the whole table (one vector a task, summed by
-Spark); from the counts the driver makes optimal code lengths of at most `max_len` bits by package
-merging, at most one entry for each id of the vocabulary. The second deals the texts out by ranges
-of doc_id, sorts each range, encodes it and writes blocks of whole documents.
+Texts are encoded once, into a plain table in the shared scratch folder. Ids are counted over all
+of it (a vector a task, summed by Spark); from the counts the driver makes optimal code lengths of
+at most `max_len` bits by package merging, one entry at most for each id of the vocabulary. Then
+the ids are dealt out by ranges of doc_id, sorted, and written as blocks of whole documents; the
+plain table is removed.
 
 A file set holds `header` (symbol, length) and `blocks`, one Parquet part for each range in
 ascending order. A block has: its range and number, the ids in the range before it, the number of
@@ -18,6 +19,7 @@ follow each other and keep their own ids. An empty table gives an empty file set
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vocab
 from .bpe import WordBpe
-from .common import batch_of, partitions, range_bounds, range_index, scratch
+from .common import batch_of, partitions, range_bounds, range_index, removed, scratch
 
 END_ID = 2
 MAX_LEN = 18
@@ -128,53 +129,73 @@ class _Ids:
     """The ids of texts as arrays, the end id last."""
 
     def __init__(self, path: str, end_id: int):
-        self.encoder = WordBpe(path)
-        self.kind = np.dtype("<u2" if max(self.encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.words = vocab.Remembered(lambda chunk: self.pack(self.encoder._chunk(chunk)))
-        self.end = self.pack([end_id])
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        self.encoder.words = self.words  # its values are joined as they are
-        parts = [s if isinstance(s, bytes) else self.pack(s) for s in self.encoder.segments(text)] if text else []
-        return np.frombuffer(b"".join([*parts, self.end]), self.kind)
-
-
-def id_counts(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all texts, the end ids included."""
+        self.encoder = WordBpe(path, self.pack, b"".join)
+        self.kind = "H" if max(self.encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
+        self.end = self.pack([[end_id]])[0]
+
+    def pack(self, words: list[list[int]]) -> list[bytes]:
+        return [array(self.kind, ids).tobytes() for ids in words]
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        end = np.frombuffer(self.end, self.kind)
+        for simple, index, starts, chunks, texts in self.encoder.groups(column):
+            values = list(map(self.encoder.chunks.__getitem__, chunks))
+            ids, sizes = np.frombuffer(b"".join(values), self.kind), np.fromiter(map(len, values), np.int64, len(values)) // end.itemsize
+            first = np.cumsum(sizes) - sizes
+            each = sizes[index]
+            before = np.concatenate([[0], np.cumsum(each)])
+            flat = ids[np.repeat(first[index] - before[:-1], each) + np.arange(before[-1])] if len(index) else ids[:0]
+            bounds = before[starts]
+            for i, text in enumerate(texts):
+                if simple[i]:
+                    yield np.concatenate([flat[bounds[i] : bounds[i + 1]], end])
+                else:
+                    yield np.frombuffer(b"".join([*(b"".join(v) for v in self.encoder.odd(text.as_py())), self.end]), self.kind)
+
+
+def id_counts(encoded: DataFrame, kind: str) -> np.ndarray:
+    """How often each id occurs in the column ids of encoded."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = _Ids(path, end_id), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n = np.bincount(ids(text), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         used = np.flatnonzero(total)
         yield batch_of(schema, id=used, n=total[used])
 
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
-    counts = np.zeros(max([end_id, *(r["id"] for r in rows)]) + 1, np.int64)
+    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, max_len: int = MAX_LEN, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes all texts and writes their ids below the folder out, in ascending order of doc_id."""
+    """Encodes all texts once and writes their ids below the folder out, in ascending order of doc_id."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    lengths = code_lengths(id_counts(docs, tokenizer_path, end_id), max_len)
+    bounds = range_bounds(docs, "doc_id", partitions(spark))
+    kind = _Ids(tokenizer_path, end_id).kind
+    plain = scratch(spark, "plain-ids")
+    schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = _Ids(tokenizer_path, end_id)
+        for batch in batches:
+            yield batch_of(schema, range=batch.column(0), doc_id=batch.column(1), ids=[x.tobytes() for x in ids_of(batch.column(2))])
+
+    ranged = docs.withColumn("range", range_index(docs["doc_id"], bounds)).select("range", "doc_id", "text")
+    ranged.mapInArrow(encode, "range int, doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)
+    encoded = spark.read.parquet(plain)
+    lengths = code_lengths(id_counts(encoded, kind), max_len)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "symbol int, length int").coalesce(1).write.parquet(f"{out}/header")
-    parts = partitions(spark)
-    bounds = range_bounds(docs, "doc_id", parts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, coder = _Ids(tokenizer_path, end_id), Coder(lengths)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(lengths)
         held: list[np.ndarray] = []
         docs_held: list[int | None] = []
         size = before = number = 0
@@ -185,21 +206,21 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_
             return batch_of(_BLOCK, range=[of], block=[number], ids_before=[before], n_ids=[size], codes=[codes], marks=[marks], doc_ids=[docs_held], doc_lens=[[len(x) for x in held]])
 
         for batch in batches:
-            for r, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for r, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (r != of or size >= BLOCK_IDS):
                     yield block()
                     number, before = (number + 1, before + size) if r == of else (0, 0)
                     held, docs_held, size = [], [], 0
                 of = r
-                held.append(ids_of(text))
+                held.append(np.frombuffer(ids, kind))
                 docs_held.append(doc)
                 size += len(held[-1])
         if held:
             yield block()
 
-    ranged = docs.withColumn("range", range_index(docs["doc_id"], bounds)).select("range", "doc_id", "text")
-    dealt = ranged.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id")
-    dealt.mapInArrow(run, _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    dealt = encoded.select("range", "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id")
+    dealt.mapInArrow(blocks, _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    removed(spark, plain)
 
 
 def _read(spark: SparkSession, path: str):

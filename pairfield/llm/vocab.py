@@ -8,6 +8,7 @@ library whole.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -17,35 +18,57 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered by a worker before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Words longer than this are encoded each time.
 CACHE_CHARS = 100
 #: Long-settled blocks of Unicode, on whose classes the library and Python agree (tested for every code point).
-UNSETTLED = re.compile("[^\x00-ԯԱ-Ֆא-תؠ-ي -‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-龥가-힣]")
+SETTLED = ((0, 0x52F), (0x531, 0x556), (0x5D0, 0x5EA), (0x620, 0x64A), (0x2000, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+UNSETTLED = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SETTLED) + "]")
 #: The splitting patterns of the two vocabularies.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Spaces to Python's str.split that are no spaces to the library.
+
+#: Spaces to Python's str.split that are no spaces to the library, and how text that has them splits.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+def odd_pattern(special) -> str:
+    """RE2 pattern of texts that don't simply split at white space: special strings, unsettled characters, separators."""
+    return "|".join(["[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SETTLED) + "]", "[\\x1c-\\x1f]", *map(re.escape, special)])
+
+
 class Remembered(dict):
-    """A bounded dict that makes missing values with a function."""
+    """A bounded dict that makes missing values with a function.
+
+    When it is full, the fixed values and the first part of the others stay: frequent words are met early.
+    """
 
     def __init__(self, make, fixed=None, limit: int = CACHE_WORDS):
         super().__init__(fixed or {})
-        self.make, self.fixed, self.limit = make, fixed or {}, limit
+        self.make, self.n_fixed, self.limit = make, len(self), limit
 
     def __missing__(self, key: str):
         value = self.make(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= self.limit + len(self.fixed):
-                self.clear()
-                self.update(self.fixed)
+            if len(self) >= self.limit + self.n_fixed:
+                self.shrink()
             self[key] = value
         return value
 
+    def shrink(self) -> None:
+        first = list(itertools.islice(self.items(), self.n_fixed + self.limit // 3))
+        self.clear()
+        self.update(first)
+
+    def room(self, keys: set[str]) -> list[str]:
+        """Those of keys that are missing, after making room for them."""
+        new = list(itertools.filterfalse(self.__contains__, keys))
+        if len(self) + len(new) > self.n_fixed + self.limit:
+            self.shrink()
+            new = list(itertools.filterfalse(self.__contains__, keys))
+        return new
+
 
 def load(path: str):
     from tokenizers import Tokenizer
