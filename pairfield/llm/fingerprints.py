@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling; DataFrame operations only.
 
-Terms are short runs of words that end where the text itself says (after a punctuation mark, one of
-a few letters, or eight words without any), so an edit changes the terms beside it alone. A term's
+Terms are short runs of words that end where the text itself says (after a punctuation mark, or
+after eight words if sixteen have none), so an edit changes the terms beside it alone. A term's
 weight is the number of characters that all its occurrences in the text take. For each of K samples
 a term draws r and c from Gamma(2, 1) and b from U(0, 1), by hashing; with weight S,
 t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1). The term with the least a is the sample,
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import partitions, range_bounds, range_index
 
-SAMPLES, SLOTS = 64, 8
+SAMPLES, SLOTS = 48, 6
 #: Characters that end a term when a word ends with them.
-ENDS = ".,;:!?|%#*&$dgy。、，"
+ENDS = ".;:!?|%#*&$。"
 #: A word here is at most 64 characters, so unsplit text has terms too.
 _WORD = r"\s*+\S{1,64}+"
-_TERM = rf"{_WORD}(?:{_WORD}){{0,31}}?(?<=[{ENDS}])|{_WORD}(?:{_WORD}){{0,7}}+"
+_TERM = rf"{_WORD}(?:{_WORD}){{0,15}}?(?<=[{ENDS}])|{_WORD}(?:{_WORD}){{0,7}}+"
 _LOWEST = -(2**63)
 _EMPTY = 2**24 - 1
 
