@@ -133,6 +133,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return united.select("doc_id", "n_words", merged.alias("spans"), "items")
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text has no window of the benchmark; one narrow stage for each block."""
+    place = docs.columns.index(text_col)
+
+    def clean(block):
+        items = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_bytes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(items.value, window)
+            for batch in batches:
+                yield batch.filter(pa.array([not windows.scan(t)[1] for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        return run
+
+    schema = docs.schema
+    for block in _blocks(benchmark, block_bytes, item_col, item_text_col):
+        docs = docs.mapInArrow(clean(block), schema)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """The digest columns of contamination()'s rows."""
     n_hit = F.aggregate(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), F.lit(0).cast("long"), lambda n, i: n + F.get("spans", (2 * i + 1).cast("int")) - F.get("spans", (2 * i).cast("int")))
@@ -148,4 +168,4 @@ def without_hits(text: str, spans: list[int]) -> str:
     return "".join(out) + text[at:]
 
 
-__all__ = ["Windows", "contamination", "report", "without_hits", "word_offsets", "words_of"]
+__all__ = ["Windows", "contamination", "decontaminated", "report", "without_hits", "word_offsets", "words_of"]

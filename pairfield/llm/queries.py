@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, huffman_ids, langid, quality, secrets, token_counts, url_filter
+from . import bpe, dartminhash, decontam, fingerprints, huffman_ids, langid, quality, secrets, token_counts, url_filter
 from .common import table
 
 
@@ -43,10 +43,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -58,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_url_filter,
         op7_bpe_encode_decode,
         op8_decontamination,
+        op9_near_duplicates,
         op10_huffman_ids,
+        pipeline,
     )
 }
 
