@@ -120,9 +120,10 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.coalesce("below", F.lit("")), F.lit(1), third))
     rows = ranged.select("part", "place", "ghost", "doc_id", "text", edited.alias("edited"))
     keys = ["part", "place"]
-    about = rows.where(~F.col("ghost")).select(*keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    about = rows.select(*keys, "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     order = W.partitionBy("part").orderBy("place")
-    made = samples(rows, keys, ["text", "edited"]).withColumn("next_codes", F.lag("text_codes").over(order))
+    # with doc_id among the keys both uses of rows read the same columns, so Spark deals the texts out once
+    made = samples(rows, [*keys, "doc_id"], ["text", "edited"]).withColumn("next_codes", F.lag("text_codes").over(order))
     found = made.select(
         *keys,
         in_hex(F.col("text_codes")).alias("fingerprint"),
@@ -130,4 +131,4 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         likeness(F.col("text_codes"), F.col("edited_codes")).alias("near_edited"),
         likeness(F.col("text_codes"), F.coalesce("next_codes", "text_codes")).alias("near_next"),
     )
-    return about.join(found, keys).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return about.join(found, keys).where(~F.col("ghost")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
