@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,41 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+def materialised(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the shared folder; rows, if known, bounds the number of its files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // 100_000)).checkpoint(eager=True)
+
+
+class IdFilter:
+    """A Bloom filter of long ids: says no only for ids that aren't among them. Its size has a bound, whatever their number."""
+
+    HASHES, MOST_BITS = 4, 1 << 26
+
+    def __init__(self, ids: DataFrame, id_col: str):
+        n = ids.count()
+        self.bits = min(self.MOST_BITS, 1 << max(10, (12 * n).bit_length()))
+        at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(self.bits)) for k in range(self.HASHES)]))
+        words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("bits"))
+        table = np.zeros(self.bits >> 5, np.uint32)
+        for batch in words.toArrow().to_batches():  # bits / 32 rows at most
+            table[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)  # 8 MB at most
+
+    def may_have(self, id_col: str) -> Column:
+        """Whether the id of a row may be among them (null: no)."""
+        table, bits = self.table, self.bits
+
+        @F.pandas_udf("boolean")
+        def found(*places: pd.Series) -> pd.Series:
+            held = np.ones(len(places[0]), bool)
+            for p in places:
+                at = p.to_numpy()
+                held &= (table.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            return pd.Series(held)
+
+        places = [F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(bits)) for k in range(self.HASHES)]
+        return F.col(id_col).isNotNull() & found(*places)
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

@@ -9,10 +9,12 @@ probability of their weighted Jaccard similarity.
 
 Texts are equal if their normalised words are; each distinct text is a node. Nodes whose signatures
 agree in a band share a bucket. A bucket never becomes all pairs: its members are compared with one
-of them (the leader), exactly, by their word shingles; links join components; what a bucket then
-still has in different components is compared in further rounds, all of it as soon as those pairs
-are no more than a few for each node. So no two texts that share a bucket and are similar enough
-stay apart, unless they are connected already.
+of them (the leader), exactly, by their word shingles, and links join components. Nodes that some
+bucket still has in different components meet again, exactly: two sets of the threshold share one
+of their rarest shingles, so these are the second buckets, and a passage that many documents have
+brings none together. What these have in different components is compared in rounds of leaders,
+and all of it as soon as the pairs are no more than a few for each member. So no two texts that
+share a bucket and are similar enough stay in different classes.
 
 Words are runs of ASCII letters and digits and characters beyond ASCII, A-Z lower-cased; a shingle
 is five words, or all words of a shorter text. Texts without words are copies of each other. Rows
@@ -30,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialised, scratch
+from .common import IdFilter, batch_of, materialised, scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of 20 bands of 5 with probability 0.0004.
 BANDS, ROWS = 20, 5
-#: Pairs for each member of a bucket that are compared at once after the first rounds.
-PAIRS_A_NODE = 8
+#: Pairs for each document that are compared at once after the first round.
+PAIRS_A_NODE = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = 1 << 20
 #: Byte to byte: lower-cased letters, digits and bytes beyond ASCII stay, all others become spaces.
@@ -155,27 +157,79 @@ def bands_of(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _prepared(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Writes and returns, for each row with an id: doc_id, key (of its normalised words), bands and shingles (ascending 32-bit hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+def _signed(docs: DataFrame, path: str) -> DataFrame:
+    """Writes and returns, for each row of docs (doc_id, text): doc_id, key (of its normalised words) and bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, darts = Shingles(), DartMinHash()
         for batch in batches:
-            keys, bands, found = [], [], []
+            keys, bands = [], []
             for text in batch.column(1):
                 line = shingles.line(text.as_py())
                 hashes = shingles(line)
                 keys.append(blake2b(line, digest_size=16).digest())
                 bands.append(bands_of(darts(hashes)).tolist() if len(hashes) else [])
-                found.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield batch_of(schema, doc_id=batch.column(0), key=keys, bands=bands, shingles=found)
+            yield batch_of(schema, doc_id=batch.column(0), key=keys, bands=bands)
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
-    rows.mapInArrow(run, "doc_id long, key binary, bands array<long>, shingles binary").write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(run, "doc_id long, key binary, bands array<long>").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def _shingled(docs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """Writes and returns node and shingles (ascending 32-bit hashes) of the documents of nodes.
+
+    Texts are read again rather than kept for all documents; a filter of bounded size passes over
+    most of the others, and the join of the hashes removes the rest. A document of several texts
+    has the shingles of all of them.
+    """
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for batch in batches:
+            found = [np.unique((shingles(shingles.line(t.as_py())) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield batch_of(schema, node=batch.column(0), shingles=found)
+
+    chosen = docs.where(IdFilter(nodes, "node").may_have("doc_id"))
+    made = chosen.mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
+    made.groupBy("node").agg(F.min("shingles").alias("shingles")).write.option("compression", "none").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _rare_shingles(shingles: DataFrame, threshold: float) -> DataFrame:
+    """node and bucket for each of the rarest shingles of a node, as many as two sets of the threshold must share one of; with n, the size of its set, s, how many of its shingles another node has, and short, whether the shingle is among the fewer that the smaller of two similar sets must share.
+
+    Rarity is counted over the given nodes. A passage that many documents have comes last in every
+    set and brings none of them together.
+    """
+    schema = pa.schema([("node", pa.int64()), ("bucket", pa.int64())])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(x.as_py(), np.uint32)
+                yield batch_of(schema, node=np.full(len(found), node), bucket=found.astype(np.int64))
+
+    each = shingles.select("node", "shingles").mapInArrow(single, "node long, bucket long")
+    often = each.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.count("*").alias("often")).drop("part")
+    of_node = W.partitionBy("node")
+    ranked = each.join(often, "bucket").select("node", "bucket", F.count("*").over(of_node).alias("n"), F.count_if(F.col("often") > 1).over(of_node).alias("s"), F.row_number().over(of_node.orderBy("often", "bucket")).alias("place"), "often")
+    first = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    return ranked.where((F.col("often") > 1) & first(threshold)).select("node", "bucket", "n", "s", first(2 * threshold / (1 + threshold)).alias("short"))
+
+
+def _possible(shared: DataFrame, threshold: float) -> DataFrame:
+    """The members of buckets that can be similar to some other member at all.
+
+    A set of n shingles, s of them known to another node, shares s at most; with the smallest set of
+    its bucket that bounds its similarity to any member by s / (n + max(0, smallest - s)).
+    """
+    smallest = shared.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.min("n").alias("smallest")).drop("part")
+    most = F.col("s") / (F.col("n") + F.greatest(F.col("smallest") - F.col("s"), F.lit(0)))
+    return shared.join(smallest, "bucket").where(most >= threshold - 1e-9).drop("smallest")
+
+
 def similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of threshold or more."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -198,14 +252,14 @@ def similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of each node of edges (a, b): least labels of neighbours, then labels of labels, until nothing changes."""
     both = materialised(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
+    rows = both.count()
+    labels = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), rows)
     total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     while total is not None:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        hooked = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "l").alias("label"))
-        hooked = materialised(hooked)
+        hooked = materialised(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "l").alias("label")), rows)
         jumped = hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("l")), "label").select("node", F.least("label", "l").alias("label"))
-        labels = materialised(jumped)
+        labels = materialised(jumped, rows)
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             break
@@ -221,46 +275,74 @@ def _part(c: Column) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of each row of docs with an id."""
     spark = docs.sparkSession
-    prepared = _prepared(docs, scratch(spark, "signatures"), id_col, text_col)
-    texts = materialised(prepared.groupBy("key", _part(F.col("key")).alias("part")).agg(F.min("doc_id").alias("node")).select("key", "node"))
-    # a document of several texts is one node for all of them
-    firsts = prepared.select("doc_id", "key", "bands").join(texts.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"])
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
+    signed = _signed(docs, scratch(spark, "signatures"))
+    texts = materialised(signed.groupBy("key", _part(F.col("key")).alias("part")).agg(F.min("doc_id").alias("node")).select("key", "node"))
+    firsts = signed.select("doc_id", "key", "bands").join(texts.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"])
     members = firsts.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
-    sizes = members.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("part")
-    shared = materialised(members.join(sizes, "bucket").select("bucket", "node", "leader"))
-    shingles = prepared.select(F.col("doc_id").alias("node"), "key", "shingles").join(texts, ["node", "key"]).select("node", "shingles")
+    sizes = members.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.count("*").alias("n")).where("n > 1").drop("part")
+    shared = _led(materialised(members.join(sizes, "bucket").select("bucket", "node", "n")))
+    shingles = _shingled(docs, shared.select("node").distinct(), scratch(spark, "shingles"))
+
+    # first round: every member of a bucket with its leader
+    led = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    edges = materialised(similar(led, shingles, threshold))
+    labels = components(edges)
+    # what a bucket still has apart meets again in the rare shingles that similar sets must share
+    left = _apart(shared.select("bucket", "node"), labels).select("node").distinct()
+    rare = materialised(_possible(_possible(_rare_shingles(materialised(shingles.join(left, "node", "left_semi")), threshold), threshold), threshold))
+    edges = _linked_apart(rare, labels, edges, shingles, threshold, PAIRS_A_NODE * signed.count())
+
+    same = signed.select("doc_id", "key").join(texts, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    # a document of several texts joins their classes; a document of one text has the class of its node
+    several = signed.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
+    named = components(edges.union(same.join(several, "a", "left_semi").select("a", "b")))
+    placed = signed.select("doc_id", "key").join(texts, "key").select("doc_id", "node")
+    own = placed.join(named.select(F.col("node").alias("doc_id"), F.col("label").alias("own")), "doc_id", "left")
+    return own.join(named, "node", "left").select("doc_id", F.coalesce("own", "label", "node").alias("class_id"))
 
-    edges = materialised(similar(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), shingles, threshold))
-    tested = shared.select("bucket", F.col("leader").alias("by")).distinct()
+
+def _linked_apart(shared: DataFrame, labels: DataFrame, edges: DataFrame, shingles: DataFrame, threshold: float, budget: int) -> DataFrame:
+    """edges with every similar pair that shares a bucket of shared (bucket, node, n, s, short) and lies in different components, or a path between them.
+
+    Up to budget pairs, a number proportional to the documents, are compared at once.
+    """
+    tested = None
     while True:
-        labels = components(edges)
         left = materialised(_apart(shared.select("bucket", "node"), labels))
         counts = left.agg(F.count("*").alias("members"), F.sum("others").alias("pairs")).first()
         if not counts["members"]:
-            break
-        if counts["pairs"] <= PAIRS_A_NODE * 2 * counts["members"]:
-            one, two = left.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "bucket").where("a < b AND la <> lb").select("a", "b").distinct()
-            edges = materialised(edges.union(similar(pairs, shingles, threshold)))
-            break
-        # members that have led their bucket are done; of the others the one with most still apart leads
-        waiting = left.join(tested.withColumnRenamed("by", "node"), ["bucket", "node"], "left_anti")
-        next_led = waiting.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.max(F.struct("others", F.xxhash64("node", "bucket"), "node", "label")).alias("x")).select("bucket", F.col("x.node").alias("by"), F.col("x.label").alias("lb"))
-        next_led = materialised(next_led)
-        if next_led.isEmpty():
-            break
-        pairs = left.join(next_led, "bucket").where("label <> lb").select(F.col("by").alias("a"), F.col("node").alias("b")).distinct()
+            return edges
+        if counts["pairs"] <= 2 * budget:
+            known = left.select("bucket", "node", "label").join(shared, ["bucket", "node"])
+            small, large = (known.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "s", "short")]) for x in "ab")
+            common = F.least("s_a", "s_b")
+            apart = (F.col("label_a") != F.col("label_b")) & (common >= (threshold - 1e-9) * (F.col("n_a") + F.col("n_b") - common))
+            ordered = F.col("short_a") & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & ((F.col("node_a") < F.col("node_b")) | ~F.col("short_b"))))
+            pairs = small.join(large, "bucket").where(apart & ordered).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+            return materialised(edges.union(similar(pairs, shingles, threshold)))
+        # members that have led their bucket are done; of the others the one with most company leads
+        waiting = left if tested is None else left.join(tested.withColumnRenamed("by", "node"), ["bucket", "node"], "left_anti")
+        company = left.groupBy("node").agg(F.sum("others").alias("company"))
+        chosen = waiting.join(company, "node").groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.max(F.struct("company", "node", "label")).alias("x"))
+        led = materialised(chosen.select("bucket", F.col("x.node").alias("by"), F.col("x.label").alias("lb")))
+        if led.isEmpty():
+            return edges
+        pairs = left.join(led, "bucket").where("label <> lb").select(F.col("by").alias("a"), F.col("node").alias("b")).distinct()
         edges = materialised(edges.union(similar(pairs, shingles, threshold)))
-        tested = materialised(tested.union(next_led.select("bucket", "by")))
+        tested = led.select("bucket", "by") if tested is None else materialised(tested.union(led.select("bucket", "by")))
+        labels = components(edges)
 
-    same = prepared.select("doc_id", "key").join(texts, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    # a document of several texts joins their classes; a document of one text has the class of its node
-    several = prepared.groupBy("doc_id").agg(F.count_distinct("key").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
-    labels = components(edges.union(same.join(several, "a", "left_semi").select("a", "b")))
-    named = labels.select("node", "label")
-    placed = prepared.select("doc_id", "key").join(texts, "key").select("doc_id", "node")
-    own = placed.join(named.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "own"), "doc_id", "left")
-    return own.join(named, "node", "left").select("doc_id", F.coalesce("own", "label", "node").alias("class_id"))
+
+def _led(shared: DataFrame) -> DataFrame:
+    """bucket, node and leader of each member (bucket, node, n members): the member that has most company over all its buckets leads.
+
+    Where many texts were copied from one with changes of their own, that one shares most bands and is similar to each.
+    """
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = shared.join(company, "node").groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.max(F.struct("company", -F.col("node"))).alias("x"))
+    leaders = leaders.select("bucket", (-F.col("x.col2")).alias("leader"))
+    return materialised(shared.select("bucket", "node").join(leaders, "bucket"))
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,11 +355,18 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns unchanged, whose document stands for its class, one row for each; rows without an id stay."""
-    stays = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_stays")).distinct()
+    """The rows of docs, all columns unchanged, whose document stands for its class, one row for each; rows without an id stay.
+
+    Most rows stay where they are: only those that a filter of bounded size can't tell from a
+    document that goes, or from one with several rows, are joined and numbered.
+    """
+    counted = materialised(classes.groupBy("doc_id").agg(F.max("class_id").alias("class_id"), F.count("*").alias("n")))
+    doubtful = IdFilter(counted.where("doc_id <> class_id OR n > 1"), "doc_id")
+    marked = docs.withColumn("_doubt", doubtful.may_have(id_col))
+    stays = counted.where("doc_id = class_id").select(F.col("doc_id").alias("_stays"))
     order = W.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")]))
-    kept = docs.join(stays, docs[id_col] == stays["_stays"], "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    kept = marked.where("_doubt").join(stays, docs[id_col] == stays["_stays"], "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1")
+    return kept.select(docs.columns).unionByName(marked.where("NOT _doubt").select(docs.columns))
 
 
 __all__ = ["DartMinHash", "Shingles", "bands_of", "components", "near_duplicates", "one_of_each", "similar"]
