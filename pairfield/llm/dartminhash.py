@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Pairs for each document that are compared at once after the first round.
 PAIRS_A_NODE = 64
+#: Nodes from which a shingle counts as frequent.
+OFTEN = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = 1 << 20
 #: Byte to byte: lower-cased letters, digits and bytes beyond ASCII stay, all others become spaces.
@@ -198,10 +200,11 @@ def _shingled(docs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
 
 
 def _rare_shingles(shingles: DataFrame, threshold: float) -> DataFrame:
-    """node and bucket for each of the rarest shingles of a node, as many as two sets of the threshold must share one of; with n, the size of its set, s, how many of its shingles another node has, and short, whether the shingle is among the fewer that the smaller of two similar sets must share.
+    """node and bucket for each of the rarest shingles of a node, as many as two sets of the threshold must share one of; with n, the size of its set, s, how many shingles it can have in common with a node whose rarest common shingle this is, and short, whether the shingle is among the fewer that the smaller of two similar sets must share.
 
     Rarity is counted over the given nodes. A passage that many documents have comes last in every
-    set and brings none of them together.
+    set and brings none of them together. A shingle that no other node has is common to no two; and
+    if the rarest common shingle is a frequent one, then all common ones are.
     """
     schema = pa.schema([("node", pa.int64()), ("bucket", pa.int64())])
 
@@ -214,16 +217,16 @@ def _rare_shingles(shingles: DataFrame, threshold: float) -> DataFrame:
     each = shingles.select("node", "shingles").mapInArrow(single, "node long, bucket long")
     often = each.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.count("*").alias("often")).drop("part")
     of_node = W.partitionBy("node")
-    ranked = each.join(often, "bucket").select("node", "bucket", F.count("*").over(of_node).alias("n"), F.count_if(F.col("often") > 1).over(of_node).alias("s"), F.row_number().over(of_node.orderBy("often", "bucket")).alias("place"), "often")
+    ranked = each.join(often, "bucket").select("node", "bucket", F.count("*").over(of_node).alias("n"), F.count_if(F.col("often") > 1).over(of_node).alias("known"), F.count_if(F.col("often") >= OFTEN).over(of_node).alias("frequent"), F.row_number().over(of_node.orderBy("often", "bucket")).alias("place"), "often")
     first = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    return ranked.where((F.col("often") > 1) & first(threshold)).select("node", "bucket", "n", "s", first(2 * threshold / (1 + threshold)).alias("short"))
+    return ranked.where((F.col("often") > 1) & first(threshold)).select("node", "bucket", "n", F.when(F.col("often") < OFTEN, F.col("known")).otherwise(F.col("frequent")).alias("s"), first(2 * threshold / (1 + threshold)).alias("short"))
 
 
 def _possible(shared: DataFrame, threshold: float) -> DataFrame:
     """The members of buckets that can be similar to some other member at all.
 
-    A set of n shingles, s of them known to another node, shares s at most; with the smallest set of
-    its bucket that bounds its similarity to any member by s / (n + max(0, smallest - s)).
+    A set of n shingles, s of them common at most, is similar to no member of its bucket by more than
+    s / (n + max(0, smallest - s)), for the smallest set of the bucket.
     """
     smallest = shared.groupBy("bucket", _part(F.col("bucket")).alias("part")).agg(F.min("n").alias("smallest")).drop("part")
     most = F.col("s") / (F.col("n") + F.greatest(F.col("smallest") - F.col("s"), F.lit(0)))

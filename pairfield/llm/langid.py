@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch_of
 
 UNKNOWN = "und"
-DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20_17
+DIMENSIONS, SYMBOLS, SEED = 512, 64, 20_17
 #: Characters of a text looked at in one step.
 SLICE = 1 << 20
 #: Cosines below this are no language that was learnt.
@@ -90,10 +90,10 @@ class Profiles:
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' bound vectors, each as often as it occurs."""
         total = np.zeros(self.dimensions)
-        for i in range(0, len(grams), 1 << 14):
-            g = grams[i : i + (1 << 14)]
+        for i in range(0, len(grams), 1 << 12):
+            g = grams[i : i + (1 << 12)]
             bound = self.first[g >> 12] * self.middle[g >> 6 & 63] * self.last[g & 63]
-            total += counts[i : i + (1 << 14)].astype(np.float32) @ bound.astype(np.float32)
+            total += counts[i : i + (1 << 12)].astype(np.float32) @ bound.astype(np.float32)
         return total
 
 
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, text_col: str = "text",
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(lang, []).append(profiles.trigrams(text))
-                if len(held[lang]) >= 512:
+                if len(held[lang]) >= 128:
                     settle(lang)
         for lang in list(held):
             settle(lang)
