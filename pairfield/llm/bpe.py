@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import closing
 from hashlib import sha256
 
 import numpy as np
@@ -70,6 +71,11 @@ class WordBpe:
         self.words = vocab.Remembered(lambda word: (render([self.word(self.mapped(word))]))[0], limit=limit)
         self.chunks = vocab.Remembered(lambda chunk: join([self.words[w] for w in vocab.WORD_PATTERN.findall(vocab.lowered(vocab.composed(chunk)))]), limit=limit)
 
+    def close(self) -> None:
+        """Forgets all words; a worker runs many tasks, and the next one starts its own."""
+        self.words.clear()
+        self.chunks.clear()
+
     def mapped(self, words: str) -> str:
         """The visible bytes of words; the spaces between words stay."""
         return words.encode().decode("latin-1").translate(self.visible)
@@ -198,6 +204,9 @@ class Digests:
     def strings(self, words: list[list[int]]) -> list[tuple[str, str, int]]:
         return [(" ".join(map(str, ids)), " ".join(map(self.token, ids)), len(ids)) for ids in words]
 
+    def close(self) -> None:
+        self.encoder.close()
+
     def texts(self, column: pa.Array) -> Iterator[tuple[int, str, str]]:
         for pieces in self.encoder.texts(column):
             ids, decoded, n = sha256(), sha256(), 0
@@ -214,11 +223,11 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, and the digests of each row's ids and of the text decoded from them; one narrow stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Digests(path)
-        for batch in batches:
-            rows = list(digest.texts(batch.column(1)))
-            n, ids, decoded = map(list, zip(*rows)) if rows else ([], [], [])
-            yield batch_of(_SCHEMA, doc_id=batch.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=decoded)
+        with closing(Digests(path)) as digest:
+            for batch in batches:
+                rows = list(digest.texts(batch.column(1)))
+                n, ids, decoded = map(list, zip(*rows)) if rows else ([], [], [])
+                yield batch_of(_SCHEMA, doc_id=batch.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=decoded)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -228,9 +237,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordBpe(path)
-        for batch in batches:
-            yield batch_of(schema, doc_id=batch.column(0), ids=[[x for values in pieces for v in values for x in v] for pieces in encoder.texts(batch.column(1))])
+        with closing(WordBpe(path)) as encoder:
+            for batch in batches:
+                yield batch_of(schema, doc_id=batch.column(0), ids=[[x for values in pieces for v in values for x in v] for pieces in encoder.texts(batch.column(1))])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

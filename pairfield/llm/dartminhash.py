@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import least_labels
 from .common import IdFilter, batch_of, materialised, scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -253,21 +254,9 @@ def similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the least node of its component) of each node of edges (a, b): least labels of neighbours, then labels of labels, until nothing changes."""
+    """node and label (the least node of its component) of each node of edges (a, b)."""
     both = materialised(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    rows = both.count()
-    labels = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), rows)
-    total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    while total is not None:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        hooked = materialised(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "l").alias("label")), rows)
-        jumped = hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("l")), "label").select("node", F.least("label", "l").alias("label"))
-        labels = materialised(jumped, rows)
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            break
-        total = now
-    return labels
+    return least_labels(both, both.count()).withColumnRenamed("root", "label")
 
 
 def _part(c: Column) -> Column:

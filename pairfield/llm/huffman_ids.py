@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,9 @@ class _Ids:
         self.kind = "H" if max(self.encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
         self.end = self.pack([[end_id]])[0]
 
+    def close(self) -> None:
+        self.encoder.close()
+
     def pack(self, words: list[list[int]]) -> list[bytes]:
         return [array(self.kind, ids).tobytes() for ids in words]
 
@@ -183,9 +187,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_
     schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _Ids(tokenizer_path, end_id)
-        for batch in batches:
-            yield batch_of(schema, range=batch.column(0), doc_id=batch.column(1), ids=[x.tobytes() for x in ids_of(batch.column(2))])
+        with closing(_Ids(tokenizer_path, end_id)) as ids_of:
+            for batch in batches:
+                yield batch_of(schema, range=batch.column(0), doc_id=batch.column(1), ids=[x.tobytes() for x in ids_of(batch.column(2))])
 
     ranged = docs.withColumn("range", range_index(docs["doc_id"], bounds)).select("range", "doc_id", "text")
     ranged.mapInArrow(encode, "range int, doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)

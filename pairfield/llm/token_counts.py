@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import closing
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +66,11 @@ class Counter:
         parts = self.split.split(text) if self.split else [text]
         return len(parts) // 2 + sum(map(self.plain, parts[::2]))
 
+    def close(self) -> None:
+        """Forgets all words; a worker runs many tasks, and the next one starts its own."""
+        for words in (self.pre, self.first, self.spaced):
+            words.clear()
+
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
         n = 0
@@ -87,10 +93,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT, id_col: s
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, whole.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [counter(t) for t in texts]
-            yield batch_of(_SCHEMA, doc_id=batch.column(0), n_bytes=[len(t.encode()) if t else 0 for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
+        with closing(Counter(path, whole.value)) as counter:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                n = [counter(t) for t in texts]
+                yield batch_of(_SCHEMA, doc_id=batch.column(0), n_bytes=[len(t.encode()) if t else 0 for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

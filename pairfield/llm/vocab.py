@@ -18,7 +18,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered by a worker before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Words longer than this are encoded each time.
 CACHE_CHARS = 100
 #: Long-settled blocks of Unicode, on whose classes the library and Python agree (tested for every code point).
