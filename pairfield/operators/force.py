@@ -59,7 +59,7 @@ def _by_cells(targets: PointSet, sources: PointSet, kernel: Kernel, r_cut: float
     ruled = cells(sources, width)
     offsets = reach(width, r_cut, targets.dim)
     axes = range(len(offsets[0]))
-    summary = ruled.df.groupBy(*[f"c{k}" for k in axes]).agg(F.sum("w0").alias("m"), *[(F.sum(F.col("w0") * F.col(x)) / F.sum("w0")).alias(f"cm{k}") for k, x in enumerate(sources.xs)], *[f(x).alias(f"{n}{k}") for k, x in enumerate(sources.xs) for n, f in (("lo", F.min), ("hi", F.max))])
+    summary = ruled.df.groupBy(*[f"c{k}" for k in axes]).agg(F.sum("w0").alias("m"), *[F.try_divide(F.sum(F.col("w0") * F.col(x)), F.sum("w0")).alias(f"cm{k}") for k, x in enumerate(sources.xs)], *[f(x).alias(f"{n}{k}") for k, x in enumerate(sources.xs) for n, f in (("lo", F.min), ("hi", F.max))])
     steps = F.broadcast(targets.df.sparkSession.createDataFrame(offsets, ", ".join(f"o{k} long" for k in axes)))  # a fixed number of offsets
     sent = prefixed(cells(targets, width), "a").crossJoin(steps).withColumns({f"t{k}": F.col(f"a_c{k}") + F.col(f"o{k}") for k in axes})
     met = sent.join(summary, [F.col(f"t{k}") == F.col(f"c{k}") for k in axes])
