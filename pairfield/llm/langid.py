@@ -69,7 +69,7 @@ class Profiles:
             return np.unique(self._trigrams(np.concatenate([[0], self.codes(text), [0]])), return_counts=True)
         total, carried = np.zeros(SYMBOLS**3, np.int64), np.zeros(1, np.uint32)
         for i in range(0, len(text), SLICE):
-            codes = np.concatenate([carried, self.codes(text[i : i + SLICE]), np.zeros(i + SLICE >= len(text), np.uint32)])
+            codes = np.concatenate([carried, self.codes(text[i : i + SLICE]), np.zeros(int(i + SLICE >= len(text)), np.uint32)])
             codes = self._collapsed(codes)
             total += np.bincount(self._trigrams(codes), minlength=len(total))
             carried = codes[-2:]
