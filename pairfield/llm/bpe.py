@@ -31,6 +31,8 @@ from .common import batch_of, text_pieces
 
 #: Bytes of an unsplit word from which the tree is used, and of a leaf.
 LONG_WORD, LEAF = 512, 128
+#: Words whose ids and tokens are remembered as strings, which take several times the room of ids.
+STRING_WORDS = 120_000
 #: Tokens on either side of a join in the first window.
 FIRST_WINDOW = 4
 #: Bytes of texts that are split into words together; a longer text is taken in pieces.
@@ -75,6 +77,7 @@ class WordBpe:
         """Forgets all words; a worker runs many tasks, and the next one starts its own."""
         self.words.clear()
         self.chunks.clear()
+        vocab.released()
 
     def mapped(self, words: str) -> str:
         """The visible bytes of words; the spaces between words stay."""
@@ -198,7 +201,7 @@ class Digests:
     """Counts and digests of texts' ids and of their decoded texts."""
 
     def __init__(self, path: str):
-        self.encoder = WordBpe(path, self.strings, lambda values: (" ".join([v[0] for v in values]), " ".join([v[1] for v in values]), sum([v[2] for v in values])))
+        self.encoder = WordBpe(path, self.strings, lambda values: (" ".join([v[0] for v in values]), " ".join([v[1] for v in values]), sum([v[2] for v in values])), limit=STRING_WORDS)
         self.token = self.encoder.tokenizer.id_to_token
 
     def strings(self, words: list[list[int]]) -> list[tuple[str, str, int]]:

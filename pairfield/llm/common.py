@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,20 +60,28 @@ class IdFilter:
             table[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
         self.table = ids.sparkSession.sparkContext.broadcast(table)  # 8 MB at most
 
+    def places(self, id_col: str) -> list[Column]:
+        """The places of an id in the table, as columns place0 .. (null for a null id)."""
+        return [F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(self.bits))).alias(f"place{k}") for k in range(self.HASHES)]
+
+    @staticmethod
+    def test(table: np.ndarray, places: Sequence[pa.Array]) -> np.ndarray:
+        """Which ids, given by their places, may be among them; a null id is not."""
+        held = ~places[0].is_null().to_numpy(zero_copy_only=False) if len(places[0]) else np.zeros(0, bool)
+        for p in places:
+            at = p.fill_null(0).to_numpy()
+            held &= (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+        return held
+
     def may_have(self, id_col: str) -> Column:
         """Whether the id of a row may be among them (null: no)."""
-        table, bits = self.table, self.bits
+        table, test = self.table, self.test
 
         @F.pandas_udf("boolean")
         def found(*places: pd.Series) -> pd.Series:
-            held = np.ones(len(places[0]), bool)
-            for p in places:
-                at = p.to_numpy()
-                held &= (table.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-            return pd.Series(held)
-
-        places = [F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(bits)) for k in range(self.HASHES)]
-        return F.col(id_col).isNotNull() & found(*places)
+            return pd.Series(test(table.value, [pa.array(p, pa.int64(), from_pandas=True) for p in places]))
+
+        return found(*self.places(id_col))
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

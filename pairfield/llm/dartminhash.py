@@ -188,14 +188,17 @@ def _shingled(docs: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
     """
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
+    ids = IdFilter(nodes, "node")
+    table, test = ids.table, ids.test
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
+            batch = batch.filter(pa.array(test(table.value, batch.columns[2:]), pa.bool_()))
             found = [np.unique((shingles(shingles.line(t.as_py())) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
             yield batch_of(schema, node=batch.column(0), shingles=found)
 
-    chosen = docs.where(IdFilter(nodes, "node").may_have("doc_id"))
-    made = chosen.mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
+    made = docs.select("doc_id", "text", *ids.places("doc_id")).mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
     made.groupBy("node").agg(F.min("shingles").alias("shingles")).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.parquet(path)
 

@@ -70,6 +70,7 @@ class Counter:
         """Forgets all words; a worker runs many tasks, and the next one starts its own."""
         for words in (self.pre, self.first, self.spaced):
             words.clear()
+        vocab.released()
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
