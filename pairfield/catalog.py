@@ -335,7 +335,7 @@ def pair_weight(spark, sf):
 # ---- boxes ----
 
 
-@query("SELECT count(*) AS count, sum(CAST(p_size AS DOUBLE)) AS weight0 FROM part WHERE p_size >= 10 AND p_size < 20 AND p_retailprice >= 920 AND p_retailprice < 950")
+@query("SELECT count(*) AS count, coalesce(sum(CAST(p_size AS DOUBLE)), 0) AS weight0 FROM part WHERE p_size >= 10 AND p_size < 20 AND p_retailprice >= 920 AND p_retailprice < 950")
 def integrate_box(spark, sf):
     return integrate(part(spark, sf), [10, 920], [20, 950])
 
