@@ -35,6 +35,8 @@ END_ID = 2
 MAX_LEN = 18
 #: Ids in a block before it is closed, and ids from one checkpoint to the next.
 BLOCK_IDS, MARK = 1 << 18, 64
+#: Words whose ids a worker remembers.
+ID_WORDS = 600_000
 _BLOCK = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("codes", pa.binary()), ("marks", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64()))])
 _BLOCK_DDL = "range int, block int, ids_before long, n_ids long, codes binary, marks binary, doc_ids array<long>, doc_lens array<long>"
 
@@ -130,7 +132,7 @@ class _Ids:
     """The ids of texts as arrays, the end id last."""
 
     def __init__(self, path: str, end_id: int):
-        self.encoder = WordBpe(path, self.pack, b"".join)
+        self.encoder = WordBpe(path, self.pack, b"".join, limit=ID_WORDS)
         self.kind = "H" if max(self.encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
         self.end = self.pack([[end_id]])[0]
 
