@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return directory
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once, where the session says nothing: rows here are whole texts."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for a table that executors write and read."""
     return f"{shared_dir(spark).rstrip('/')}/pairfield/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import least_labels
-from .common import IdFilter, batch_of, materialised, scratch
+from .common import IdFilter, batch_of, materialised, scratch, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of 20 bands of 5 with probability 0.0004.
@@ -270,6 +270,7 @@ def _part(c: Column) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of each row of docs with an id."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
     signed = _signed(docs, scratch(spark, "signatures"))
     texts = materialised(signed.groupBy("key", _part(F.col("key")).alias("part")).agg(F.min("doc_id").alias("node")).select("key", "node"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialised
+from .common import batch_of, materialised, small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark is read in blocks of about this, each with its own automaton and pass.
@@ -112,6 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     With one block, which is the rule, the plan is one narrow stage. With more, each block is one
     pass over the texts and the passes' few hits are put together by row.
     """
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, block_bytes, item_col, item_text_col)
     numbered = docs.select(F.lit(0).cast("long").alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     first, second = next(blocks), next(blocks, None)
@@ -147,6 +148,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return run
 
+    small_batches(docs.sparkSession)
     schema = docs.schema
     for block in _blocks(benchmark, block_bytes, item_col, item_text_col):
         docs = docs.mapInArrow(clean(block), schema)

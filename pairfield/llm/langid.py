@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, small_batches
 
 UNKNOWN = "und"
 DIMENSIONS, SYMBOLS, SEED = 512, 64, 20_17
@@ -119,6 +119,7 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS, text_col: str = "text",
         langs = [k for k in sums for _ in range(dimensions)]
         yield batch_of(pa.schema([("lang", pa.string()), ("d", pa.int32()), ("v", pa.int64())]), lang=langs, d=list(range(dimensions)) * len(sums), v=[x for k in sums for x in sums[k].tolist()])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     summed = rows.mapInArrow(run, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v"))
     out: dict[str, list[int]] = {}
