@@ -36,7 +36,7 @@ STRING_WORDS = 120_000
 #: Tokens on either side of a join in the first window.
 FIRST_WINDOW = 4
 #: Bytes of texts that are split into words together; a longer text is taken in pieces.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 32 << 20
 _WORDS_AND_BREAKS = regex.compile(vocab.WORD_PATTERN.pattern + r"|\n")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -36,7 +36,7 @@ MAX_LEN = 18
 #: Ids in a block before it is closed, and ids from one checkpoint to the next.
 BLOCK_IDS, MARK = 1 << 18, 64
 #: Words whose ids a worker remembers.
-ID_WORDS = 600_000
+ID_WORDS = 900_000
 _BLOCK = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("codes", pa.binary()), ("marks", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64()))])
 _BLOCK_DDL = "range int, block int, ids_before long, n_ids long, codes binary, marks binary, doc_ids array<long>, doc_lens array<long>"
 
