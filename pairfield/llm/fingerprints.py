@@ -1,13 +1,18 @@
 """Document fingerprints by consistent weighted sampling; DataFrame operations only.
 
-Terms are short runs of words that end where the text itself says (after a punctuation mark, or
-after eight words if sixteen have none), so an edit changes the terms beside it alone. A term's
-weight is the number of characters that all its occurrences in the text take. For each of K samples
+Terms are overlapping shingles of five words, or all words of a shorter text, so an edit changes the
+terms that contain it alone. In runs that no space splits (of more than 64 characters, or of a
+script without spaces) each character counts as a word. A term's weight is the number of characters
+that all its occurrences in the text take. For each of K samples
 a term draws r and c from Gamma(2, 1) and b from U(0, 1), by hashing; with weight S,
 t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1). The term with the least a is the sample,
 and (term, t) its code. Two texts agree in a sample with a probability that equals their generalised
 Jaccard similarity, the sum of smaller weights over the sum of larger ones.
 
+The least a of a text of weight T is exponential with rate T, so it is above DEPTH / T with
+probability exp(-DEPTH); and a >= c exp(-r) / S, c >= 1 - exp(-c). Terms that this keeps above
+DEPTH / T leave a sample before its logarithms are taken.
+
 Neighbours in order of doc_id meet in ranges: the texts are dealt out once, by range; each range
 also gets a copy of the document before it. Terms, samples and fingerprints are then made range by
 range without another exchange of texts, however often a term or text occurs.
@@ -25,19 +30,23 @@ from pyspark.sql import functions as F
 
 from .common import partitions, range_bounds, range_index
 
-SAMPLES, SLOTS = 48, 6
-#: Characters that end a term when a word ends with them.
-ENDS = ".;:!?|%#*&$。"
-#: A word here is at most 64 characters, so unsplit text has terms too.
-_WORD = r"\s*+\S{1,64}+"
-_TERM = rf"{_WORD}(?:{_WORD}){{0,15}}?(?<=[{ENDS}])|{_WORD}(?:{_WORD}){{0,7}}+"
+SAMPLES, SHINGLE = 64, 5
+#: No sample of a text is as high as DEPTH over its weight, but with a probability of 1e-14.
+DEPTH = 32.0
+#: Characters of words that spaces split: all but spaces, Thai, Lao, Burmese, Khmer, kana and ideographs.
+_SPACED = r"[!-\x{dff}\x00-\x08\x0e-\x1f\x{f00}-\x{fff}\x{10a0}-\x{177f}\x{1800}-\x{2e7f}\x{a000}-\x{f8ff}\x{fb00}-\x{feff}\x{fff0}-\x{1ffff}\x{40000}-\x{10ffff}]"
+_WORD = rf"(?>(?<!\S){_SPACED}{{1,64}}+(?!\S)|\S)"
+#: A word, and as group 1 the shingle that starts with it, if enough words follow.
+_TERM = rf"(?:(?=({_WORD}(?:\s*+{_WORD}){{{SHINGLE - 1}}}))|){_WORD}"
 _LOWEST = -(2**63)
 _EMPTY = 2**24 - 1
 
 
 def terms_of(text: Column) -> Column:
     """The terms of a text, in order, without the spaces around them."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda x: F.trim(x))
+    shingles = F.array_remove(F.regexp_extract_all(text, F.lit(_TERM), F.lit(1)), "")
+    whole = F.regexp_extract_all(text, F.lit(r"(?s)\S(?:.*\S)?"), F.lit(0))
+    return F.when(F.size(shingles) > 0, shingles).otherwise(whole)
 
 
 def _share(bits: Column, shift: int) -> Column:
@@ -49,31 +58,43 @@ def samples(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
     A term of several of a row's texts draws its numbers once.
     """
-    tagged = F.concat(*[F.transform(terms_of(F.col(c)), _tag(i)) for i, c in enumerate(columns)])
-    exploded = texts.select(*keys, F.explode_outer(tagged).alias("x")).select(*keys, "x.which", F.xxhash64("x.term").alias("h"), F.length("x.term").alias("n"))
-    weighted = exploded.groupBy(*keys, "h").agg(*[F.ln(F.sum(F.when(F.col("which") == i, F.col("n")))).alias(f"l{i}") for i in range(len(columns))])
-    slotted = weighted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-    per = SAMPLES // SLOTS
-    k = [(F.col("slot") * per + j) for j in range(per)]
-    drawn = slotted.select("*", *[F.xxhash64("h", k[j]).alias(f"u{j}") for j in range(per)])
-    drawn = drawn.select("*", *[F.xxhash64(f"u{j}").alias(f"v{j}") for j in range(per)])
+    each = range(len(columns))
+    found = texts.select(*keys, *[terms_of(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    totals = [f"n{i}" for i in each]
+    tagged = F.concat(*[F.transform(f"t{i}", _tag(i)) for i in each])
+    # totals before the explode: beside it they would be made again for every term
+    counted = found.select(*keys, *[F.length(F.concat_ws("", f"t{i}")).alias(f"n{i}") for i in each], tagged.alias("tagged"))
+    exploded = counted.select(*keys, *totals, F.explode_outer("tagged").alias("x"))
+    exploded = exploded.select(*keys, *totals, "x.which", F.xxhash64("x.term").alias("h"), F.length("x.term").alias("n"))
+    weighted = exploded.groupBy(*keys, *totals, "h").agg(*[F.sum(F.when(F.col("which") == i, F.col("n"))).alias(f"w{i}") for i in each])
+    shares = [F.col(f"w{i}") / F.greatest(F.col(f"n{i}"), F.lit(1)) for i in each]
+    weighted = weighted.select(*keys, "h", *[F.ln(f"w{i}").alias(f"l{i}") for i in each], (DEPTH * (F.greatest(*shares) if len(shares) > 1 else shares[0])).alias("most"))
+    drawn = weighted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("k")).withColumn("u", F.xxhash64("h", "k"))
+    # a row of empty texts has one term, without weights, that stands for it
+    drawn = drawn.where(F.col("most").isNull() | ((1 - _share(F.col("u"), 42)) * _share(F.col("u"), 0) * _share(F.col("u"), 21) <= F.col("most"))).withColumn("v", F.xxhash64("u"))
     drawn = drawn.select(
-        *keys, "h", "slot", *[f"l{i}" for i in range(len(columns))],
-        *[(-F.ln(_share(F.col(f"u{j}"), 0) * _share(F.col(f"u{j}"), 21))).alias(f"r{j}") for j in range(per)],
-        *[F.ln(-F.ln(_share(F.col(f"u{j}"), 42) * _share(F.col(f"v{j}"), 0))).alias(f"c{j}") for j in range(per)],
-        *[_share(F.col(f"v{j}"), 21).alias(f"b{j}") for j in range(per)],
+        *keys, "h", "k", *[f"l{i}" for i in each],
+        (-F.ln(_share(F.col("u"), 0) * _share(F.col("u"), 21))).alias("r"),
+        F.ln(-F.ln(_share(F.col("u"), 42) * _share(F.col("v"), 0))).alias("c"),
+        _share(F.col("v"), 21).alias("b"),
     )
 
-    def packed(i: int, j: int) -> Column:
+    def packed(i: int) -> Column:
         """ln a in the high bits, the code in the low 24: the least one names the sample."""
-        r, t = F.col(f"r{j}"), F.floor(F.col(f"l{i}") / F.col(f"r{j}") + F.col(f"b{j}"))
-        ln_a = F.col(f"c{j}") - r * (t - F.col(f"b{j}") + 1)
-        return F.shiftleft(((ln_a + 96) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.xxhash64("h", k[j], t).bitwiseAND(0xFFFFFF))
-
-    least = drawn.groupBy(*keys, "slot").agg(*[F.min(packed(i, j)).alias(f"m{i}_{j}") for i in range(len(columns)) for j in range(per)])
-    code = lambda i, j: F.coalesce(F.col(f"m{i}_{j}").bitwiseAND(0xFFFFFF), F.lit(_EMPTY)).cast("int")
-    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", *[F.array(*[code(i, j) for j in range(per)]).alias(f"a{i}") for i in range(len(columns))]))).alias("parts"))
-    return parts.select(*keys, *[F.flatten(F.col(f"parts.a{i}")).alias(f"{c}_codes") for i, c in enumerate(columns)])
+        t = F.floor(F.col(f"l{i}") / F.col("r") + F.col("b"))
+        ln_a = F.col("c") - F.col("r") * (t - F.col("b") + 1)
+        return F.when(F.col(f"l{i}").isNotNull(), F.shiftleft(((ln_a + 96) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.xxhash64("h", "k", t).bitwiseAND(0xFFFFFF)))
+
+    least = drawn.groupBy(*keys, "k").agg(*[F.min(packed(i)).alias(f"m{i}") for i in each])
+    code = lambda i: F.coalesce(F.col(f"m{i}").bitwiseAND(0xFFFFFF), F.lit(_EMPTY)).cast("int")
+    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *[code(i).alias(f"a{i}") for i in each]))).alias("parts"))
+    return parts.select(*keys, *[_placed(F.col("parts.k"), F.col(f"parts.a{i}")).alias(f"{c}_codes") for i, c in enumerate(columns)])
+
+
+def _placed(at: Column, codes: Column) -> Column:
+    """SAMPLES codes, those that are missing as of an empty text."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.coalesce(F.element_at(F.map_from_arrays(at, codes), k), F.lit(_EMPTY)))
+    return F.when(F.size(codes) == SAMPLES, codes).otherwise(every)
 
 
 def _tag(i: int):

@@ -249,6 +249,23 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert abs(np.mean(error)) < 0.05
 
 
+def test_an_inserted_word_changes_the_terms_beside_it_alone(spark):
+    rng = random.Random(6)
+    plain = [f"word{rng.randrange(10**6)}x" for _ in range(300)]
+    runs = ["".join(rng.choices(letters, k=600)) for letters in ("ABCDEFGHabcdefgh0123456789+/", "".join(map(chr, range(0x4E00, 0x4F00))) + "。", "กขคงจฉชซ")]
+    rows = [(0, " ".join(plain), " ".join([*plain[:20], "more", *plain[20:]])), *[(i, t, t[:20] + "7" + t[20:]) for i, t in enumerate(runs, 1)]]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    found = fingerprints.samples(df, ["id"], ["a", "b"]).withColumn("near", fingerprints.likeness(F.col("a_codes"), F.col("b_codes"))).collect()
+    assert len(found) == 4 and all(len(r["a_codes"]) == 64 and r["near"] > 0.85 for r in found), [r["near"] for r in found]
+    fingerprints.DEPTH, kept = 1e9, fingerprints.DEPTH
+    try:
+        assert {r["id"]: (r["a_codes"], r["b_codes"]) for r in fingerprints.samples(df, ["id"], ["a", "b"]).collect()} == {r["id"]: (r["a_codes"], r["b_codes"]) for r in found}
+    finally:
+        fingerprints.DEPTH = kept
+    terms = df.sparkSession.createDataFrame([("a b  c d e f",), (" one two ",), ("漢字かな a b",), ("x" * 66,)], "t string").select(fingerprints.terms_of(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in terms] == [["a b  c d e", "b  c d e f"], ["one two"], ["漢字かな a", "字かな a b"], ["xxxxx"] * 62]
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
