@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .common import batch_of, small_batches
 
 UNKNOWN = "und"
-DIMENSIONS, SYMBOLS, SEED = 512, 64, 20_17
+DIMENSIONS, SYMBOLS, SEED = 1024, 64, 20_17
 #: Characters of a text looked at in one step.
 SLICE = 1 << 20
-#: Cosines below this are no language that was learnt.
-REJECT_BELOW = 0.01
+#: Cosines below this are no language that was learnt: (distinct trigrams from which it holds, cosine). Random letters reach
+#: 0.184 at most in 4610 texts of 40 to 6000 characters; a text of fewer trigrams cannot be told from them and stays.
+REJECT_BELOW = ((0, 0.01), (30, 0.2))
 
 
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
@@ -139,7 +140,9 @@ class Classifier:
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        grams, counts = self.profiles.trigrams(text)
+        return self.of(*self.profiles.trigrams(text))
+
+    def of(self, grams: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
         if not self.langs or not len(grams) or not grams.any():
             return UNKNOWN, 0.0
         vector = self.profiles.bundle(grams, counts)
@@ -161,15 +164,19 @@ def predict(docs: DataFrame, prototypes: dict[str, list[int]], id_col: str = "do
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, prototypes: dict[str, list[int]], below: float = REJECT_BELOW, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text has a language: not `und`, and a cosine of `below` or more."""
+def identified(docs: DataFrame, prototypes: dict[str, list[int]], below: tuple[tuple[int, float], ...] = REJECT_BELOW, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text has a language: not `und`, and a cosine of what `below` says for its trigrams, or more."""
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(prototypes)
         for batch in batches:
-            found = [classify(t) for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= below for lang, score in found], pa.bool_()))
+            keep = []
+            for text in batch.column(place).to_pylist():
+                grams, counts = classify.profiles.trigrams(text)
+                lang, score = classify.of(grams, counts)
+                keep.append(lang != UNKNOWN and score >= max((least for n, least in below if len(grams) >= n), default=0.0))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -202,6 +202,15 @@ def test_languages(spark, odd, empty):
         langid.SLICE = kept
 
 
+def test_short_clean_texts_stay_and_random_letters_go(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    prototypes = langid.learn(docs)
+    assert docs.exceptAll(langid.identified(docs, prototypes)).where(F.col("text").rlike(r"\p{L}")).count() == 0
+    rng = random.Random(99)
+    noise = spark.createDataFrame([(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=k))) for i, k in enumerate([60, 600, 6000] * 50)], "doc_id long, text string")
+    assert langid.identified(noise, prototypes).count() == 0
+
+
 def test_quality(spark, odd, empty):
     base = DATA.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
