@@ -426,6 +426,13 @@ def components_of_edges(spark, sf):
     return connected_components(lines.select((F.col("l_orderkey") % 97).alias("a"), (F.col("l_suppkey") % 89 + 100).alias("b")), "labels")
 
 
+@query()
+def components_of_lines(spark, sf):
+    """The components of all orders and suppliers of lineitem, by rounds of joins; suppliers have negative ids. Tests hold it against union-find."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return connected_components(lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")), "labels")
+
+
 # ---- kernel sums ----
 
 

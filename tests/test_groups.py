@@ -9,6 +9,7 @@ from test_points import distances, points
 from pairfield.functions import sky
 from pairfield.operators.binning import AngularBinning, FlatSkyMultipoleBinning, MultipoleBinning, RBinning
 from pairfield.operators.bootstrap import Policy, lengths, resample
+from pairfield.catalog import QUERIES
 from pairfield.operators.components import connected_components
 from pairfield.operators.estimators import landy_szalay, natural
 from pairfield.operators.fof import fof, fof_labels, fof_runs
@@ -30,6 +31,30 @@ def test_components(spark, strategy):
     assert empty.count() == 0
 
 
+def brute_roots(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components_of_whole_table_chain_and_hot_node(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = [(r["l_orderkey"], -1 - r["l_suppkey"]) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()]
+    assert {r["node"]: r["root"] for r in QUERIES["components_of_lines"](spark, sf).collect()} == brute_roots(lines)
+    edges = [(i, i + 1) for i in range(0, 1000)] + [(5000, i) for i in range(5001, 9000)]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), "labels").collect()
+    assert {r["node"]: r["root"] for r in found} == brute_roots(edges)
+
+
 @pytest.mark.parametrize("box", [None, 1.0])
 def test_chain(spark, box):
     n = 300
