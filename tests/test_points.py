@@ -171,3 +171,14 @@ def test_plan_is_an_equi_join_with_pushed_projection(spark):
     physical = enum(p, p, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in physical and "Cartesian" not in physical
     assert F is not None
+
+
+def test_stored_points_gives_back_what_is_stored(spark, tmp_path):
+    from pairfield.catalog import QUERIES
+    from pairfield.sources.points import read_points
+
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    read = read_points(spark, "/root/testdata/sf0.001/supplier.parquet", "s_suppkey", ["s_acctbal"]).df.select("id", "x0").collect()
+    assert sorted(map(tuple, read)) == sorted((r["s_suppkey"], float(r["s_acctbal"])) for r in suppliers.collect())
+    suppliers.where("false").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert tuple(QUERIES["stored_points"](spark, str(tmp_path)).first()) == (0, False)
