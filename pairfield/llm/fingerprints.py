@@ -2,8 +2,8 @@
 
 Terms are overlapping shingles of five words, or all words of a shorter text, so an edit changes the
 terms that contain it alone. In runs that no space splits (of more than 64 characters, or of a
-script without spaces) each character counts as a word. A term's weight is the number of characters
-that all its occurrences in the text take. For each of K samples
+script without spaces) each character counts as a word. A term's weight is the number of its
+occurrences in the text. For each of K samples
 a term draws r and c from Gamma(2, 1) and b from U(0, 1), by hashing; with weight S,
 t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1). The term with the least a is the sample,
 and (term, t) its code. Two texts agree in a sample with a probability that equals their generalised
@@ -11,7 +11,10 @@ Jaccard similarity, the sum of smaller weights over the sum of larger ones.
 
 The least a of a text of weight T is exponential with rate T, so it is above DEPTH / T with
 probability exp(-DEPTH); and a >= c exp(-r) / S, c >= 1 - exp(-c). Terms that this keeps above
-DEPTH / T leave a sample before its logarithms are taken.
+DEPTH / T are out of a sample before its logarithms are taken.
+
+The terms of a text become numbers, are counted within its row, and only then stand in rows of their
+own; a grouping by text and term over all texts would hold many times the texts.
 
 Neighbours in order of doc_id meet in ranges: the texts are dealt out once, by range; each range
 also gets a copy of the document before it. Terms, samples and fingerprints are then made range by
@@ -31,74 +34,89 @@ from pyspark.sql import functions as F
 from .common import partitions, range_bounds, range_index
 
 SAMPLES, SHINGLE = 64, 5
-#: No sample of a text is as high as DEPTH over its weight, but with a probability of 1e-14.
-DEPTH = 32.0
+#: No sample of a text is as high as DEPTH over its weight, but with a probability of 2e-8, in which case its code is that of an empty text.
+DEPTH = 18.0
 #: Characters of words that spaces split: all but spaces, Thai, Lao, Burmese, Khmer, kana and ideographs.
 _SPACED = r"[!-\x{dff}\x00-\x08\x0e-\x1f\x{f00}-\x{fff}\x{10a0}-\x{177f}\x{1800}-\x{2e7f}\x{a000}-\x{f8ff}\x{fb00}-\x{feff}\x{fff0}-\x{1ffff}\x{40000}-\x{10ffff}]"
 _WORD = rf"(?>(?<!\S){_SPACED}{{1,64}}+(?!\S)|\S)"
-#: A word, and as group 1 the shingle that starts with it, if enough words follow.
-_TERM = rf"(?:(?=({_WORD}(?:\s*+{_WORD}){{{SHINGLE - 1}}}))|){_WORD}"
 _LOWEST = -(2**63)
 _EMPTY = 2**24 - 1
+#: Above every sample.
+_NO = 2**63 - 1
+#: Samples of a term that are made in one row; the code that Java compiles grows with it and has a limit.
+AT_ONCE = 4
+
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text, in order, without the spaces around them."""
-    shingles = F.array_remove(F.regexp_extract_all(text, F.lit(_TERM), F.lit(1)), "")
-    whole = F.regexp_extract_all(text, F.lit(r"(?s)\S(?:.*\S)?"), F.lit(0))
-    return F.when(F.size(shingles) > 0, shingles).otherwise(whole)
+
+def terms_of(words: Column) -> Column:
+    """The terms of an array of words, in order, as 64-bit hashes."""
+    n = F.size(words)
+    shingles = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(n - (SHINGLE - 1), F.lit(0))) for k in range(SHINGLE)])
+    hashed = F.transform(shingles, lambda x: F.xxhash64(x))
+    return F.when(n >= SHINGLE, hashed).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _share(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(0x1FFFFF) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def samples(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, and for each text column x the array x_codes of its K sample codes; no row of texts shares its keys.
+def samples(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and codes, the array of its K sample codes, of each text; no row of texts shares its keys.
 
-    A term of several of a row's texts draws its numbers once.
+    The samples are made AT_ONCE together, side by side in one row, so a term is looked up in the
+    aggregation once for so many samples.
+    """
+    # a projection for each step: what is used several times is then made once
+    terms = texts.select(*keys, words_of(F.col(column)).alias("words")).select(*keys, terms_of(F.col("words")).alias("terms"))
+    terms = terms.select(*keys, "terms", F.size("terms").alias("total"))
+    terms = terms.select(*keys, "terms", "total", (F.size(F.array_distinct("terms")) < F.col("total")).alias("repeats"))
+    # most texts repeat no term; in the others equal terms are brought together by sorting
+    terms = terms.select(*keys, F.when(F.col("repeats"), F.sort_array("terms")).otherwise(F.col("terms")).alias("terms"), "total", "repeats")
+    last = F.filter(F.sequence(F.lit(1), F.col("total")), lambda i: (i == F.col("total")) | (F.get("terms", i - 1) != F.get("terms", i)))
+    terms = terms.select(*keys, "terms", "total", F.when(F.col("repeats"), last).alias("last"))
+    counted = F.transform("last", lambda i, k: F.struct(F.get("terms", i - 1).alias("h"), (i - F.when(k == 0, F.lit(0)).otherwise(F.get("last", k - 1))).alias("n")))
+    once = F.arrays_zip(F.col("terms").alias("h"), F.array_repeat(F.lit(1), F.col("total")).alias("n"))
+    # a text without terms has one row, without a weight, that stands for it
+    single = terms.select(*keys, "total", F.explode_outer(F.when(F.col("last").isNotNull(), counted).otherwise(once)).alias("x"))
+    weighted = single.select(*keys, F.col("x.h").alias("h"), F.ln("x.n").alias("l"), (DEPTH * F.col("x.n") / F.col("total")).alias("most"))
+    drawn = weighted.select("*", F.explode(F.array(*[F.lit(k) for k in range(0, SAMPLES, AT_ONCE)])).alias("block"))
+    least = _drawn(drawn).groupBy(*keys, "block").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(AT_ONCE)])
+    codes = F.array(*[F.when(F.col(f"m{k}") != _NO, F.col(f"m{k}").bitwiseAND(0xFFFFFF).cast("int")).otherwise(F.lit(_EMPTY)) for k in range(AT_ONCE)])
+    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", codes.alias("codes")))).alias("parts"))
+    return parts.select(*keys, F.flatten("parts.codes").alias("codes"))
+
+
+def _drawn(terms: DataFrame) -> DataFrame:
+    """terms (h, l: ln of the weight, most, block) with m0 ..: of a sample ln a in the high bits and the code in the low 24, so the least one names the sample; _NO for a term that can't be it.
+
+    Steps of their own again. A logarithm costs more than all else, so a term first passes the bound
+    with exp(-r) alone, then the one that knows t, and only then c is made.
     """
-    each = range(len(columns))
-    found = texts.select(*keys, *[terms_of(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
-    totals = [f"n{i}" for i in each]
-    tagged = F.concat(*[F.transform(f"t{i}", _tag(i)) for i in each])
-    # totals before the explode: beside it they would be made again for every term
-    counted = found.select(*keys, *[F.length(F.concat_ws("", f"t{i}")).alias(f"n{i}") for i in each], tagged.alias("tagged"))
-    exploded = counted.select(*keys, *totals, F.explode_outer("tagged").alias("x"))
-    exploded = exploded.select(*keys, *totals, "x.which", F.xxhash64("x.term").alias("h"), F.length("x.term").alias("n"))
-    weighted = exploded.groupBy(*keys, *totals, "h").agg(*[F.sum(F.when(F.col("which") == i, F.col("n"))).alias(f"w{i}") for i in each])
-    shares = [F.col(f"w{i}") / F.greatest(F.col(f"n{i}"), F.lit(1)) for i in each]
-    weighted = weighted.select(*keys, "h", *[F.ln(f"w{i}").alias(f"l{i}") for i in each], (DEPTH * (F.greatest(*shares) if len(shares) > 1 else shares[0])).alias("most"))
-    drawn = weighted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("k")).withColumn("u", F.xxhash64("h", "k"))
-    # a row of empty texts has one term, without weights, that stands for it
-    drawn = drawn.where(F.col("most").isNull() | ((1 - _share(F.col("u"), 42)) * _share(F.col("u"), 0) * _share(F.col("u"), 21) <= F.col("most"))).withColumn("v", F.xxhash64("u"))
-    drawn = drawn.select(
-        *keys, "h", "k", *[f"l{i}" for i in each],
-        (-F.ln(_share(F.col("u"), 0) * _share(F.col("u"), 21))).alias("r"),
-        F.ln(-F.ln(_share(F.col("u"), 42) * _share(F.col("v"), 0))).alias("c"),
-        _share(F.col("v"), 21).alias("b"),
-    )
-
-    def packed(i: int) -> Column:
-        """ln a in the high bits, the code in the low 24: the least one names the sample."""
-        t = F.floor(F.col(f"l{i}") / F.col("r") + F.col("b"))
-        ln_a = F.col("c") - F.col("r") * (t - F.col("b") + 1)
-        return F.when(F.col(f"l{i}").isNotNull(), F.shiftleft(((ln_a + 96) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.xxhash64("h", "k", t).bitwiseAND(0xFFFFFF)))
-
-    least = drawn.groupBy(*keys, "k").agg(*[F.min(packed(i)).alias(f"m{i}") for i in each])
-    code = lambda i: F.coalesce(F.col(f"m{i}").bitwiseAND(0xFFFFFF), F.lit(_EMPTY)).cast("int")
-    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *[code(i).alias(f"a{i}") for i in each]))).alias("parts"))
-    return parts.select(*keys, *[_placed(F.col("parts.k"), F.col(f"parts.a{i}")).alias(f"{c}_codes") for i, c in enumerate(columns)])
-
-
-def _placed(at: Column, codes: Column) -> Column:
-    """SAMPLES codes, those that are missing as of an empty text."""
-    every = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.coalesce(F.element_at(F.map_from_arrays(at, codes), k), F.lit(_EMPTY)))
-    return F.when(F.size(codes) == SAMPLES, codes).otherwise(every)
-
-
-def _tag(i: int):
-    return lambda x: F.struct(F.lit(i).alias("which"), x.alias("term"))
+    each = range(AT_ONCE)
+    col = lambda name: (lambda k: F.col(f"{name}{k}"))
+    u, v, q, d, r, y, t = map(col, "uvqdryt")
+    steps = (
+        ("u", lambda k: F.xxhash64("h", F.col("block") + k)),
+        ("v", lambda k: F.xxhash64(u(k))),
+        ("q", lambda k: _share(u(k), 0) * _share(u(k), 21)),
+        ("d", lambda k: 1 - _share(u(k), 42) * _share(v(k), 0)),
+        ("r", lambda k: F.when(d(k) * q(k) <= F.col("most"), -F.ln(q(k)))),
+        ("y", lambda k: F.col("l") / r(k) + _share(v(k), 21)),
+        ("t", lambda k: F.floor(y(k))),
+    )
+    for name, made in steps:
+        terms = terms.withColumns({f"{name}{k}": made(k) for k in each})
+
+    def packed(k: int) -> Column:
+        over = r(k) * (t(k) + 1 - y(k))
+        ln_a = F.ln(-F.ln(1 - d(k))) - over - F.col("l")
+        code = F.xxhash64("h", F.col("block") + k, t(k)).bitwiseAND(0xFFFFFF)
+        return F.when(d(k) <= F.col("most") * F.exp(over), F.shiftleft(((ln_a + 96) * float(1 << 32)).cast("long"), 24).bitwiseOR(code)).otherwise(F.lit(_NO))
+
+    return terms.withColumns({f"m{k}": packed(k) for k in each})
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,8 +133,7 @@ def in_hex(codes: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    made = samples(rows, ["row", "doc_id"], ["text"])
-    return made.select("doc_id", in_hex(F.col("text_codes")).alias("fingerprint"))
+    return samples(rows, ["row", "doc_id"], "text").select("doc_id", in_hex(F.col("codes")).alias("fingerprint"))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
@@ -144,7 +161,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     about = rows.select(*keys, "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     order = W.partitionBy("part").orderBy("place")
     # with doc_id among the keys both uses of rows read the same columns, so Spark deals the texts out once
-    made = samples(rows, [*keys, "doc_id"], ["text", "edited"]).withColumn("next_codes", F.lag("text_codes").over(order))
+    both = rows.select(*keys, "doc_id", F.posexplode(F.array("text", "edited")).alias("side", "one"))
+    made = samples(both, [*keys, "doc_id", "side"], "one").groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, F.col("codes"))).alias(f"{c}_codes") for i, c in enumerate(("text", "edited"))])
+    made = made.withColumn("next_codes", F.lag("text_codes").over(order))
     found = made.select(
         *keys,
         in_hex(F.col("text_codes")).alias("fingerprint"),
