@@ -18,16 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset and there is one machine (tests), a local one is set."""
     directory = spark.conf.get("spark.checkpoint.dir", None)
     if not directory:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         directory = current.get() if current.isDefined() else "/tmp/checkpoints/pairfield"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(directory)
     return directory
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of names that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what goes to Python at once, where the session says nothing: rows here are whole texts."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
@@ -59,6 +72,8 @@ class IdFilter:
 
     def __init__(self, ids: DataFrame, id_col: str):
         n = ids.count()
+        #: Whether the ids are too many to be told from others.
+        self.full = 8 * n > self.MOST_BITS
         self.bits = min(self.MOST_BITS, 1 << max(10, (12 * n).bit_length()))
         at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(self.bits)) for k in range(self.HASHES)]))
         words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("bits"))
@@ -91,6 +106,16 @@ class IdFilter:
         return found(*self.places(id_col))
 
 
+#: Bytes of input, by Spark's estimate, for which there is a range; and the most ranges there are, whose bounds all tasks get.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 50_000
+
+
+def range_count(df: DataFrame, least: int) -> int:
+    """Into how many ranges df is dealt: least, or as many as its size asks for."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(MOST_RANGES, size // RANGE_BYTES) if size < 1 << 60 else 0)  # of unknown size Spark says a number without bounds
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most parts - 1 ascending split points of an integer key, from an approximate quantile sketch.
 

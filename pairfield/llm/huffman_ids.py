@@ -1,10 +1,10 @@
 """Token ids on disk as canonical, length-limited Huffman codes in independent blocks.
 
-Texts are encoded once, into a plain table in the shared scratch folder. Ids are counted over all
-of it (a vector a task, summed by Spark); from the counts the driver makes optimal code lengths of
-at most `max_len` bits by package merging, one entry at most for each id of the vocabulary. Then
-the ids are dealt out by ranges of doc_id, sorted, and written as blocks of whole documents; the
-plain table is removed.
+Texts are encoded once, into a plain table in the shared scratch folder, and each task leaves the
+counts of its ids beside them. Spark sums these; from the counts the driver makes optimal code
+lengths of at most `max_len` bits by package merging, one entry at most for each id of the
+vocabulary. Then the ids are dealt out by ranges of doc_id, sorted, and written as blocks of whole
+documents; the plain table is removed.
 
 A file set holds `header` (symbol, length) and `blocks`, one Parquet part for each range in
 ascending order. A block has: its range and number, the ids in the range before it, the number of
@@ -19,7 +19,6 @@ follow each other and keep their own ids. An empty table gives an empty file set
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import closing
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe
-from .common import batch_of, partitions, range_bounds, range_index, removed, scratch
+from .common import batch_of, partitions, range_bounds, range_count, range_index, removed, scratch
 
 END_ID = 2
 MAX_LEN = 18
@@ -133,46 +132,41 @@ class _Ids:
 
     def __init__(self, path: str, end_id: int):
         self.encoder = WordBpe(path, self.pack, b"".join, limit=ID_WORDS)
-        self.kind = "H" if max(self.encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
-        self.end = self.pack([[end_id]])[0]
+        self.size = max(self.encoder.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = "H" if self.size <= 1 << 16 else "I"
+        self.end = self.encoder.value([end_id])
 
     def close(self) -> None:
         self.encoder.close()
 
-    def pack(self, words: list[list[int]]) -> list[bytes]:
-        return [array(self.kind, ids).tobytes() for ids in words]
+    def pack(self, ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        data, ends = ids.astype(self.kind).tobytes(), (stops * np.dtype(self.kind).itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
 
-    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
-        end = np.frombuffer(self.end, self.kind)
-        for simple, index, starts, chunks, texts in self.encoder.groups(column):
+    def __call__(self, column: pa.Array) -> Iterator[bytes]:
+        for numbers, chunks, texts in self.encoder.groups(column):
             values = list(map(self.encoder.chunks.__getitem__, chunks))
-            ids, sizes = np.frombuffer(b"".join(values), self.kind), np.fromiter(map(len, values), np.int64, len(values)) // end.itemsize
-            first = np.cumsum(sizes) - sizes
-            each = sizes[index]
-            before = np.concatenate([[0], np.cumsum(each)])
-            flat = ids[np.repeat(first[index] - before[:-1], each) + np.arange(before[-1])] if len(index) else ids[:0]
-            bounds = before[starts]
-            for i, text in enumerate(texts):
-                if simple[i]:
-                    yield np.concatenate([flat[bounds[i] : bounds[i + 1]], end])
-                else:
-                    yield np.frombuffer(b"".join([*(b"".join(v) for v in self.encoder.odd(text.as_py())), self.end]), self.kind)
-
-
-def id_counts(encoded: DataFrame, kind: str) -> np.ndarray:
-    """How often each id occurs in the column ids of encoded."""
+            for i, of_text in enumerate(numbers):
+                pieces = [map(values.__getitem__, of_text)] if of_text is not None else self.encoder.odd(texts[i].as_py())
+                yield b"".join([*(b"".join(p) for p in pieces), self.end])
+
+
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the counts that the encoding tasks left in the column counts (id and number, int64 each)."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
-            n[: len(total)] += total
-            total = n
+            for task in batch.column(0):
+                used, n = np.frombuffer(task.as_py(), np.int64).reshape(2, -1)
+                if len(used):
+                    total = np.concatenate([total, np.zeros(max(0, int(used[-1]) + 1 - len(total)), np.int64)])
+                    total[used] += n
         used = np.flatnonzero(total)
         yield batch_of(schema, id=used, n=total[used])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    rows = encoded.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -183,20 +177,27 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_
     """Encodes all texts once and writes their ids below the folder out, in ascending order of doc_id."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    bounds = range_bounds(docs, "doc_id", partitions(spark))
+    bounds = range_bounds(docs, "doc_id", range_count(docs, partitions(spark)))
     kind = _Ids(tokenizer_path, end_id).kind
     plain = scratch(spark, "plain-ids")
-    schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with closing(_Ids(tokenizer_path, end_id)) as ids_of:
+            total = np.zeros(ids_of.size, np.int64)
             for batch in batches:
-                yield batch_of(schema, range=batch.column(0), doc_id=batch.column(1), ids=[x.tobytes() for x in ids_of(batch.column(2))])
+                ids = list(ids_of(batch.column(2)))
+                n = np.bincount(np.frombuffer(b"".join(ids), kind))
+                total[: len(n)] += n
+                yield batch_of(schema, range=batch.column(0), doc_id=batch.column(1), ids=ids, counts=[None] * len(ids))
+        # a task's last row holds its counts in a column of their own, so that reading them reads no ids
+        used = np.flatnonzero(total)
+        yield batch_of(schema, range=[None], doc_id=[None], ids=[None], counts=[np.stack([used, total[used]]).astype(np.int64).tobytes()])
 
     ranged = docs.withColumn("range", range_index(docs["doc_id"], bounds)).select("range", "doc_id", "text")
-    ranged.mapInArrow(encode, "range int, doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)
+    ranged.mapInArrow(encode, "range int, doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(plain)
     encoded = spark.read.parquet(plain)
-    lengths = code_lengths(id_counts(encoded, kind), max_len)
+    lengths = code_lengths(id_counts(encoded), max_len)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "symbol int, length int").coalesce(1).write.parquet(f"{out}/header")
 
@@ -224,7 +225,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_
         if held:
             yield block()
 
-    dealt = encoded.select("range", "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id")
+    dealt = encoded.where("counts IS NULL").select("range", "doc_id", "ids").repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id")
     dealt.mapInArrow(blocks, _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     removed(spark, plain)
 
