@@ -5,23 +5,25 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sky
+from .functions.metric import pair_columns
 from .operators import estimators
-from .operators.binning import AngularBinning, Axis, FastAngularBinning, FastRBinning, FlatSkyBinning, FlatSkyMultipoleBinning, MultipoleBinning, RBinning, RmuBinning, XYBinning
+from .operators.binning import AngularBinning, Axis, Binning, FastAngularBinning, FastRBinning, FlatSkyBinning, FlatSkyMultipoleBinning, MultipoleBinning, RBinning, RmuBinning, XYBinning
 from .operators.boxes import integrate, integrate_many
 from .operators.bootstrap import Policy, resample
-from .operators.components import connected_components
+from .operators.components import connected_components, shared_folder
 from .operators.counts import collapsed, count
 from .operators.fof import fof, fof_labels, fof_runs
-from .operators.force import count_kernel, force, plummer_kernel
+from .operators.force import KERNELS, count_kernel, force, plummer_kernel
 from .operators.forest import cell_sums, make_forest
 from .operators.paircount import norms, paircount
-from .operators.pairs import enum, enum_distinct, process
+from .operators.pairs import enum, enum_distinct, iterate, process
 from .operators.regions import in_regions, sky_regions
 from .plans.epsjoin import within
 from .streaming.incremental import IncrementalPairCount
@@ -172,6 +174,27 @@ def pairs_processed(spark, sf):
     return tally.groupBy("k").agg(F.sum("n").alias("n"))
 
 
+@query(f"SELECT i, j, r FROM {_pairs(SUPPLIERS, SUPPLIERS, 30.0)}")
+def pairs_theta(spark, sf):
+    """A radius as large as the space, by the nested loop."""
+    return enum(suppliers(spark, sf), suppliers(spark, sf), 30.0, strategy="theta")
+
+
+@query(f"SELECT count(*) AS pairs FROM {_pairs(PART, SUPPLIERS, 2.5)}")
+def pairs_observed(spark, sf):
+    """The counter of pairs, read after a run over them."""
+    seen = Observation()
+    enum(part(spark, sf), suppliers(spark, sf), 2.5, observe=seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["pairs"],)], "pairs long")
+
+
+@query(f"SELECT i, j, r FROM {_pairs(SUPPLIERS, SUPPLIERS, 4.0)}")
+def pairs_iterated(spark, sf):
+    """Pairs one by one on the driver."""
+    rows = [tuple(r) for r in iterate(enum(suppliers(spark, sf), suppliers(spark, sf), 4.0))]
+    return spark.createDataFrame(rows, "i long, j long, r double")
+
+
 @query("""WITH e AS (SELECT vec_id AS id, embedding FROM embeddings),
 p AS (SELECT a.id AS i, b.id AS j, list_sum(list_transform(range(1, 65), lambda k: (CAST(a.embedding[k] AS DOUBLE) - b.embedding[k]) * (CAST(a.embedding[k] AS DOUBLE) - b.embedding[k]))) AS r2 FROM e a JOIN e b ON a.id < b.id)
 SELECT i, j, round(sqrt(r2), 6) AS r FROM p WHERE r2 <= CAST('1.2100000000000002' AS DOUBLE)""")
@@ -270,6 +293,24 @@ def paircount_rmu(spark, sf):
     return paircount(part(spark, sf), part(spark, sf), RMU)
 
 
+class AcrossAlong(Binning):
+    """A user's scheme: the difference across, by uneven edges, and the signed one along."""
+
+    axes = (Axis("across", [0.0, 0.5, 1.5, 3.0]), Axis("along", [-3.0, -1.0, 0.25, 3.0]))
+
+    def coordinates(self, dim, box):
+        a, b = pair_columns(dim)
+        return [F.abs(a[0] - b[0]), a[1] - b[1]]
+
+
+USER = AcrossAlong()
+
+
+@query(_binned(_pairs(PART, PART, 3, more=W), [(USER.axes[0], "abs(x1 - x2)"), (USER.axes[1], "(y1 - y2)")], SUMS))
+def paircount_user_binning(spark, sf):
+    return paircount(part(spark, sf), part(spark, sf), USER)
+
+
 XY = XYBinning(3.0, 5, observer=(-10.0, 880.0))
 _LOS = f"({_DOT} / {_LEN})"
 
@@ -418,14 +459,6 @@ def fof_events_1d(spark, sf):
     return fof_runs(events, ["user_id"], "x", 21600.0, "event_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 97 AS a, l_suppkey % 89 + 100 AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_linenumber = 1),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(n, s) AS (SELECT a, a FROM u UNION SELECT w.n, u.b FROM w JOIN u ON w.s = u.a)
-SELECT n AS node, min(s) AS root FROM w GROUP BY 1""")
-def components_of_edges(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 40 = 0 AND l_linenumber = 1")
-    return connected_components(lines.select((F.col("l_orderkey") % 97).alias("a"), (F.col("l_suppkey") % 89 + 100).alias("b")), "labels")
-
-
 @query()
 def components_of_lines(spark, sf):
     """The components of all orders and suppliers of lineitem, by rounds of joins; suppliers have negative ids. Tests hold it against union-find."""
@@ -447,6 +480,18 @@ def force_plummer(spark, sf):
     return found.select("id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
 
 
+@query(f"SELECT t.id, coalesce(f, 0) AS f0, coalesce(f, 0) AS f1 FROM {SUPPLIERS} t LEFT JOIN (SELECT i, sum(w2) AS f FROM {_pairs(SUPPLIERS, PART, 4, more=W)} GROUP BY 1) ON i = t.id")
+def force_opening_angle(spark, sf):
+    """With an opening angle cells act as one mass; the mass within a radius is the same."""
+    return force(suppliers(spark, sf), part(spark, sf), KERNELS["count"](), 4.0, eta=1.0)
+
+
+@query(f"SELECT t.id, round(coalesce(f, 0), 6) AS f0, round(coalesce(g, 0), 6) AS f1 FROM {SUPPLIERS} t LEFT JOIN (SELECT i, sum(w2 / (1 + r)) AS f, sum(w2 * (y2 - y1)) AS g FROM {_pairs(SUPPLIERS, PART, 4, more=W)} GROUP BY 1) ON i = t.id")
+def force_user_kernel(spark, sf):
+    found = force(suppliers(spark, sf), part(spark, sf), lambda r, dx: [1 / (1 + r), dx[1]], 4.0)
+    return found.select("id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
+
+
 # ---- resampling ----
 
 DRAWN = {0: 2, 3: 1, 5: 3}
@@ -474,6 +519,18 @@ def strap_products(spark, sf):
     return STRAPS.run_sums([part(spark, sf), part(spark, sf)], F.col("w0"))
 
 
+@query(f"WITH c AS (SELECT CAST(i % 3 AS INTEGER) AS s0, CAST(j % 3 AS INTEGER) AS s1, CAST(CAST(r > 0.5 AS INTEGER) + CAST(r > 1 AS INTEGER) AS INTEGER) AS bin, count(*) AS n FROM {_pairs(PART, PART, 2)} GROUP BY 1, 2, 3), e(bin, edge) AS (VALUES (0, {_d(0.5)}), (1, {_d(1)}), (2, {_d(2)})), s AS (SELECT DISTINCT s0, s1 FROM c) SELECT s0, s1, CAST(e.bin AS INTEGER) AS bin, edge, coalesce(n, 0) AS count FROM s CROSS JOIN e LEFT JOIN c USING (s0, s1, bin)")
+def strap_run(spark, sf):
+    """Any estimator over every combination of straps."""
+    return Policy("id % 3").run(lambda a, b: count(a, b, [0.5, 1.0, 2.0], by_cells=False), part(spark, sf), part(spark, sf))
+
+
+@query("SELECT CAST(p_partkey % 5 AS INTEGER) AS strap, count(*) AS n, sum(CAST(p_size AS DOUBLE)) AS w0 FROM part GROUP BY 1")
+def strap_subsamples(spark, sf):
+    straps = Policy("id % 5").create_straps(part(spark, sf))
+    return reduce(DataFrame.unionByName, [p.sums().select(F.lit(s).alias("strap"), "n", "w0") for s, p in straps.items()])
+
+
 @query()
 def strap_bootstrap(spark, sf):
     """A seeded draw of straps."""
@@ -591,7 +648,7 @@ def sky_region_sizes(spark, sf):
 @query(_counted(PART, PART, EDGES))
 def streamed_count(spark, sf):
     """count_weighted, kept up to date over micro-batches of a stream of points."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/pairfield/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("w"))
     table.repartition(3, "p_partkey").write.parquet(f"{folder}/in")
     counter = IncrementalPairCount(spark, f"{folder}/state", EDGES, "p_partkey", ["x", "y"], "w")

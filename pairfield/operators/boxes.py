@@ -1,8 +1,9 @@
 """Counts and weight sums in half-open boxes [min, max).
 
-One box is a filter. Many boxes are compared with a summary of the points in at most GRID cells an
-axis (its size doesn't grow with the data): cells wholly inside a box count at once, and only cells
-that a box cuts are resolved into their points. Box sizes of a periodic set are ignored.
+One box is a filter. Many boxes go down a hierarchy of cells over the first two axes, each level's
+cells BRANCH times as narrow as those above: cells wholly inside a box count at once, cells outside
+leave, and only cells that a box cuts are joined, by equality, with the cells in them on the next
+level, and on the finest with their points. Box sizes of a periodic set are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.points import PointSet
+from .components import stored
 
-#: Cells of the summary along each of the first two axes.
-GRID = 48
+#: Cells of a level along an axis in each cell of the level above, levels there are at most, and points that cells of the finest hold.
+BRANCH, LEVELS, LEAF = 8, 6, 32
 
 
 def _each(value: float | Sequence[float], dim: int) -> list[float]:
@@ -46,23 +48,34 @@ def integrate_many(points: PointSet, boxes: DataFrame, id: str, lows: Sequence[s
     axes = range(min(points.dim, 2))
     extent = points.df.agg(*[f(f"x{k}").alias(f"{n}{k}") for k in axes for n, f in (("from", F.min), ("to", F.max))]).first()
 
-    def cell(k: int) -> Column:
+    def cell(k: int, n: int) -> Column:
         low, high = extent[f"from{k}"], extent[f"to{k}"]
         if low is None or not high > low:
             return F.lit(0)
-        return F.least(F.floor((F.col(f"x{k}") - low) / (high - low) * GRID), F.lit(GRID - 1)).cast("int")
+        return F.least(F.floor((F.col(f"x{k}") - low) / (high - low) * n), F.lit(n - 1)).cast("int")
 
-    ruled = points.df.select("*", *[cell(k).alias(f"c{k}") for k in axes])
-    keys = [f"c{k}" for k in axes]
-    dims = range(points.dim)
-    summary = F.broadcast(ruled.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(w).alias(w) for w in points.ws], *[f(f"x{k}").alias(f"{n}{k}") for k in dims for n, f in (("lo", F.min), ("hi", F.max))]))  # GRID ** 2 rows at most
+    keys, dims = [f"c{k}" for k in axes], range(points.dim)
+    bounds = [f"{x}{k}" for x in "lh" for k in dims]
+    sums = [f"weight{k}" for k in range(points.n_weights)]
     meets = _all([(F.col(f"hi{k}") >= F.col(f"l{k}")) & (F.col(f"lo{k}") < F.col(f"h{k}")) for k in dims])
     inside = _all([(F.col(f"lo{k}") >= F.col(f"l{k}")) & (F.col(f"hi{k}") < F.col(f"h{k}")) for k in dims])
-    met = boxes.join(summary, meets).withColumn("whole", inside)
-    sums = [f"weight{k}" for k in range(points.n_weights)]
-    whole = met.where("whole").select("box", F.col("n").alias("count"), *[F.col(w).alias(s) for w, s in zip(points.ws, sums)])
-    cut = met.where("NOT whole").select("box", *keys, *[f"l{k}" for k in dims], *[f"h{k}" for k in dims])
-    within = _all([(F.col(f"x{k}") >= F.col(f"l{k}")) & (F.col(f"x{k}") < F.col(f"h{k}")) for k in dims])
-    single = cut.join(ruled, keys).where(within).select("box", F.lit(1).cast("long").alias("count"), *[F.col(w).alias(s) for w, s in zip(points.ws, sums)])
-    found = whole.unionByName(single).groupBy("box").agg(F.sum("count").alias("count"), *[F.sum(s).alias(s) for s in sums])
-    return boxes.select("box").join(found, "box", "left").select(F.col("box").alias(id), F.coalesce("count", F.lit(0)).cast("long").alias("count"), *[F.coalesce(s, F.lit(0.0)).alias(s) for s in sums])
+    rest, found = boxes.select("*", *[F.lit(0).alias(f"q{k}") for k in axes]), []
+    for level in range(1, LEVELS + 1):
+        ruled = points.df.select("*", *[cell(k, BRANCH**level).alias(f"c{k}") for k in axes])
+        summary = ruled.groupBy(*keys).agg(F.count("*").alias("count"), *[F.sum(w).alias(n) for w, n in zip(points.ws, sums)], *[f(f"x{k}").alias(f"{n}{k}") for k in dims for n, f in (("lo", F.min), ("hi", F.max))])
+        summary = summary.withColumns({f"q{k}": F.floor(F.col(f"c{k}") / BRANCH).cast("int") for k in axes})
+        # BRANCH ** 2 cells on the first level
+        met = rest.join(F.broadcast(summary) if level == 1 else summary, [f"q{k}" for k in axes]).where(meets).select("box", *bounds, *keys, "count", *sums, inside.alias("whole"))
+        met, _ = stored(met)
+        found.append(met.where("whole").select("box", "count", *sums))
+        cut = met.where("NOT whole")
+        left = cut.agg(F.count("*").alias("cells"), F.coalesce(F.sum("count"), F.lit(0)).alias("points")).first()
+        if not left["cells"]:
+            break
+        if left["points"] <= LEAF * left["cells"] or level == LEVELS:
+            within = _all([(F.col(f"x{k}") >= F.col(f"l{k}")) & (F.col(f"x{k}") < F.col(f"h{k}")) for k in dims])
+            found.append(cut.select("box", *bounds, *keys).join(ruled, keys).where(within).select("box", F.lit(1).cast("long").alias("count"), *[F.col(w).alias(n) for w, n in zip(points.ws, sums)]))
+            break
+        rest = cut.select("box", *bounds, *[F.col(f"c{k}").alias(f"q{k}") for k in axes])
+    total = reduce(DataFrame.unionByName, found).groupBy("box").agg(F.sum("count").alias("count"), *[F.sum(n).alias(n) for n in sums])
+    return boxes.select("box").join(total, "box", "left").select(F.col("box").alias(id), F.coalesce("count", F.lit(0)).cast("long").alias("count"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in sums])

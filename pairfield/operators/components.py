@@ -16,8 +16,11 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: below spark.checkpoint.dir, or a local folder where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/pairfield"
+    """Where intermediate tables go: below spark.checkpoint.dir. Where that is unset there must be one machine, whose own folder will do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/pairfield"
 
 
 def stored(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:

@@ -1,10 +1,13 @@
 """Counts of pairs by distance, without listing the pairs where whole cells can be counted at once.
 
 Bin i holds r[i-1] < d <= r[i], bin 0 everything up to r[0]; pairs beyond the last edge are dropped.
-Points are summed by cell first (number, weights, least and greatest coordinate on each axis). Two
-cells whose points all are in the same bin of each other, by the bounds of their points, count at
-once; the others are resolved into their points. In an open box both ways give the same bins
-bit by bit, since the distance bounds are rounded as the distances are.
+Points are summed by cell on several levels, each with cells half as wide as the one above (number,
+weights, least and greatest coordinate on each axis). Two cells whose points all are in the same bin
+of each other, by the bounds of their points, count at once; only those that straddle an edge are
+looked at again on the next level, and on the finest level as points. The finest level is where cells
+hold about LEAF points. Whether that pays is estimated from the numbers of points and of cells first;
+if not, pairs are counted by points from the start. In an open box both ways give the same bins bit by bit, since the distance
+bounds are rounded as the distances are.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metric import edges_below, squared
-from ..plans.epsjoin import cells, reach, within
+from ..plans.epsjoin import GRID_AXES, axis_cell, cells, reach, within
 from ..sources.points import PointSet
+from .components import stored
 
-#: Cells of the summary along the largest distance.
-CELLS_A_RADIUS = 4
+#: Points that a cell of the finest level holds, and levels there are at most.
+LEAF, LEVELS = 16, 12
+#: Pairs that a join compares in less time than the levels take to set up.
+COSTLY = 1_000_000_000
 
 
 def _squares(edges: Sequence[float]) -> list[float]:
@@ -51,7 +57,7 @@ def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bo
     bins = spark.createDataFrame(list(enumerate(edges)), "bin int, edge double")
     if edges[-1] < 0:
         rows = None
-    elif by_cells if by_cells is not None else (not a.periodic and edges[-1] > 0):
+    elif by_cells if by_cells is not None else (not a.periodic and edges[-1] > 0 and dense(a, b, edges[-1])):
         rows = _by_cells(a, b, edges[-1], squares, names)
     else:
         rows = _by_points(within(a, b, edges[-1]), squares, names)
@@ -67,12 +73,26 @@ def _by_points(pairs: DataFrame, squares: list[float], names: list[str]) -> Data
     return binned.where(F.col("bin") < len(squares))
 
 
+def _occupied(points: PointSet, width: float) -> Column:
+    """About how many cells of a width have points."""
+    return F.approx_count_distinct(F.xxhash64(*[axis_cell(F.col(f"x{k}"), width, None) for k in range(min(points.dim, GRID_AXES))]))
+
+
+def dense(a: PointSet, b: PointSet, radius: float) -> bool:
+    """Whether counting by cells pays: cells of half the radius hold more than LEAF points, and a join would compare more than COSTLY pairs."""
+    n = a.df.count()
+    m, halves, wholes = b.df.agg(F.count("*"), _occupied(b, radius / 2), _occupied(b, radius)).first()
+    return m > LEAF * halves and n * m / max(wholes, 1) * 3 ** min(a.dim, GRID_AXES) > COSTLY
+
+
 def _summary(points: PointSet, axes: range, side: str) -> DataFrame:
+    """The cells of points with their sums and bounds, and p0 ..: the cell of the level above."""
     grouped = points.df.groupBy(*[f"c{k}" for k in axes]).agg(
         F.sum("n").alias("n") if "n" in points.df.columns else F.count("*").alias("n"),
         *[F.sum(w).alias(w) for w in points.ws],
         *[f(x).alias(f"{x}_{name}") for x in points.xs for name, f in (("min", F.min), ("max", F.max))],
     )
+    grouped = grouped.withColumns({f"p{k}": F.shiftright(f"c{k}", 1) for k in axes})
     return grouped.select(*[F.col(c).alias(f"{side}_{c}") for c in grouped.columns])
 
 
@@ -87,19 +107,37 @@ def _bounds(dim: int) -> tuple[Column, Column]:
 
 
 def _by_cells(a: PointSet, b: PointSet, rmax: float, squares: list[float], names: list[str]) -> DataFrame:
-    width = rmax / CELLS_A_RADIUS
-    one, two = cells(a, width), cells(b, width)
-    offsets = reach(width, rmax, a.dim)
-    axes = range(len(offsets[0]))
-    left, right = _summary(one, axes, "a"), _summary(two, axes, "b")
     spark = a.df.sparkSession
+    offsets = reach(rmax, rmax, a.dim)
+    axes = range(len(offsets[0]))
+    both = [f"{s}_c{k}" for s in "ab" for k in axes]
     steps = F.broadcast(spark.createDataFrame(offsets, ", ".join(f"o{k} long" for k in axes)))  # a fixed number of offsets
-    sent = left.crossJoin(steps).withColumns({f"t{k}": F.col(f"a_c{k}") + F.col(f"o{k}") for k in axes}).drop(*[f"o{k}" for k in axes])
     near, far = _bounds(a.dim)
-    met = sent.join(right, [F.col(f"t{k}") == F.col(f"b_c{k}") for k in axes]).withColumns({"low": edges_below(near, squares), "high": edges_below(far, squares)}).where(F.col("low") < len(squares))
-    whole = met.where("low = high").select(F.col("low").alias("bin"), (F.col("a_n") * F.col("b_n")).alias("count"), *[(F.col(f"a_w{k}") * F.col(f"b_w{k}")).alias(n) for k, n in enumerate(names)])
-    rest = met.where("low < high").select(*[f"{s}_c{k}" for s in "ab" for k in axes])
+    width, rest, counted = rmax, None, None
+    for level in range(LEVELS):
+        one, two = cells(a, width), cells(b, width)
+        left, right = _summary(one, axes, "a"), _summary(two, axes, "b")
+        if level == 0:
+            sent = left.crossJoin(steps).withColumns({f"t{k}": F.col(f"a_c{k}") + F.col(f"o{k}") for k in axes}).drop(*[f"o{k}" for k in axes])
+            met = sent.join(right, [F.col(f"t{k}") == F.col(f"b_c{k}") for k in axes])
+        else:
+            # the cells of the level above are this level's parents
+            above = rest.select(*[F.col(c).alias(c.replace("_c", "_p")) for c in both])
+            met = above.join(left, [f"a_p{k}" for k in axes]).join(right, [f"b_p{k}" for k in axes])
+        # bounds in a step of their own: each is compared with several edges
+        met = met.withColumns({"near": near, "far": far}).withColumns({"low": edges_below(F.col("near"), squares), "high": edges_below(F.col("far"), squares)}).where(F.col("low") < len(squares))
+        met = met.select(*both, "low", "high", (F.col("a_n") * F.col("b_n")).alias("count"), *[(F.col(f"a_w{k}") * F.col(f"b_w{k}")).alias(n) for k, n in enumerate(names)])
+        met, _ = stored(met)
+        whole = met.where("low = high").select(F.col("low").alias("bin"), "count", *names)
+        counted = whole if counted is None else counted.unionByName(whole)
+        rest = met.where("low < high").select(*both)
+        pairs = met.where("low < high").agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("pairs")).first()
+        if not pairs["n"]:
+            return counted
+        if pairs["pairs"] <= LEAF * LEAF * pairs["n"] or level + 1 == LEVELS:
+            break
+        width /= 2
     pa, pb = (p.df.select(*[F.col(c).alias(f"{s}_{c}") for c in p.df.columns]) for p, s in ((one, "a"), (two, "b")))
-    pairs = rest.join(pa, [f"a_c{k}" for k in axes]).join(pb, [f"b_c{k}" for k in axes])
+    points = rest.join(pa, [f"a_c{k}" for k in axes]).join(pb, [f"b_c{k}" for k in axes])
     r2 = squared([F.abs(F.col(f"a_x{k}") - F.col(f"b_x{k}")) for k in range(a.dim)])
-    return whole.unionByName(_by_points(pairs.withColumn("r2", r2), squares, names))
+    return counted.unionByName(_by_points(points.withColumn("r2", r2), squares, names))

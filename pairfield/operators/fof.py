@@ -1,8 +1,10 @@
 """Friends of friends: the connected components of points within a linking length.
 
 Points are put in cells so small that all points of a cell are friends; components are then found
-for cells, with one edge for each pair of cells that holds a close pair of points. Labels are the
-least id of the component.
+for cells. Two cells are linked at once if the bounds of their points say that all are close, and
+are no friends if none can be; only cells that the bounds leave open, and that links of the first
+kind haven't put together already, are looked at as points, and give one edge each. In a clump that
+is hardly any. Labels are the least id of the component.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.epsjoin import axis_cell, within
+from ..functions.metric import squared
+from ..plans.epsjoin import GRID_AXES, axis_cell, reach, within
 from ..sources.points import PointSet
-from .components import connected_components
+from .components import connected_components, stored
 
 #: Names that other implementations give their variants; all find the same components.
 METHODS = ("splay", "allpairs", "prefernodes", "unsafe", "heuristics", "linkedlist")
@@ -40,13 +43,39 @@ def fof_labels(points: PointSet, linking_length: float, active: DataFrame | None
     names = [f"g{k}" for k in axes]
     heads = cell.groupBy(*names).agg(F.min("id").alias("head"))
     placed = cell.join(heads, names).drop(*names)
-    nodes = PointSet(placed, points.dim, points.n_weights, points.box, (*points.extra, "head"), points.n_values)
-    edges = within(nodes, nodes, ll, F.col("a_head") < F.col("b_head")).select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).distinct()
+    if points.periodic or points.dim > GRID_AXES or not ll > 0:
+        nodes = PointSet(placed, points.dim, points.n_weights, points.box, (*points.extra, "head"), points.n_values)
+        edges = within(nodes, nodes, ll, F.col("a_head") < F.col("b_head")).select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).distinct()
+    else:
+        edges = _cell_links(cell.join(heads, names), points.dim, ll, side, strategy)
     roots = connected_components(edges, strategy)
     labels = placed.select("id", "head").join(roots.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("label"))
     return labels if active is None else everyone.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def _cell_links(placed: DataFrame, dim: int, ll: float, side: float, strategy: str) -> DataFrame:
+    """Edges (a, b) between the heads of cells that hold friends; enough of them for the components. placed has x0 .., g0 .. (the cell) and head."""
+    spark, axes = placed.sparkSession, range(dim)
+    names = [f"g{k}" for k in axes]
+    cells, _ = stored(placed.groupBy(*names, "head").agg(*[f(f"x{k}").alias(f"{n}{k}") for k in axes for n, f in (("lo", F.min), ("hi", F.max))]))
+    ahead = [o for o in reach(side, ll, dim) if o > (0,) * dim]  # each two cells once
+    steps = F.broadcast(spark.createDataFrame(ahead, ", ".join(f"o{k} long" for k in axes)))  # a fixed number of offsets
+    left = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns]).crossJoin(steps)
+    met = left.join(cells, [F.col(f"a_g{k}") + F.col(f"o{k}") == F.col(f"g{k}") for k in axes])
+    apart = [F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"hi{k}")) for k in axes]
+    extent = [F.greatest(F.abs(F.col(f"hi{k}") - F.col(f"a_lo{k}")), F.abs(F.col(f"a_hi{k}") - F.col(f"lo{k}"))) for k in axes]
+    met = met.select(F.col("a_head").alias("a"), F.col("head").alias("b"), squared(apart).alias("near"), squared(extent).alias("far")).where(F.col("near") <= ll * ll)
+    met, _ = stored(met.select("a", "b", (F.col("far") <= ll * ll).alias("sure")))
+    sure, open_ = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
+    roots = connected_components(sure, strategy)
+    label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_ = open_.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    one, two = (placed.select(F.col("head").alias(s), *[F.col(f"x{k}").alias(f"{s}_x{k}") for k in axes]) for s in "ab")
+    r2 = squared([F.abs(F.col(f"a_x{k}") - F.col(f"b_x{k}")) for k in axes])
+    resolved = open_.join(one, "a").join(two, "b").where(r2 <= ll * ll).select("a", "b").distinct()
+    return sure.unionByName(resolved)
+
+
 def fof_runs(df: DataFrame, by: list[str], x: str, linking_length: float, id: str) -> DataFrame:
     """id and label of one-dimensional points, apart for each group of by: a gap wider than the linking length starts a new component."""
     order = W.partitionBy(*by).orderBy(x, "id")

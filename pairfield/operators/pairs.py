@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.epsjoin import within
@@ -14,9 +14,9 @@ from ..sources.points import PointSet
 BUNCH = 100_000
 
 
-def enum(a: PointSet, b: PointSet, rmax: float, strategy: str = "grid", metric: Column | None = None) -> DataFrame:
-    """i, j, r of all ordered pairs with r <= rmax; a set joined with itself has (i, j), (j, i) and (i, i)."""
-    return within(a, b, rmax, strategy=strategy, metric=metric).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.sqrt("r2").alias("r"))
+def enum(a: PointSet, b: PointSet, rmax: float, strategy: str = "grid", metric: Column | None = None, observe: Observation | None = None) -> DataFrame:
+    """i, j, r of all ordered pairs with r <= rmax; a set joined with itself has (i, j), (j, i) and (i, i). observe gets their number as `pairs`."""
+    return within(a, b, rmax, strategy=strategy, metric=metric, observe=observe).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.sqrt("r2").alias("r"))
 
 
 def enum_distinct(a: PointSet, rmax: float, strategy: str = "grid") -> DataFrame:
@@ -25,12 +25,25 @@ def enum_distinct(a: PointSet, rmax: float, strategy: str = "grid") -> DataFrame
 
 
 def process(pairs: DataFrame, consumer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, bunch: int = BUNCH) -> DataFrame:
-    """consumer's rows for batches of at most bunch pairs, on the executors."""
+    """consumer's rows for batches of bunch pairs (the last one of a task may have fewer), on the executors."""
+    if bunch < 1:
+        raise ValueError("bunch is 1 or more")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
         for batch in batches:
-            for start in range(0, len(batch), bunch):
-                yield consumer(batch.iloc[start : start + bunch])
+            start = 0
+            while size + len(batch) - start >= bunch:
+                held.append(batch.iloc[start : start + bunch - size])
+                start += bunch - size
+                yield consumer(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+            if start < len(batch):
+                held.append(batch.iloc[start:])
+                size += len(batch) - start
+        if held:
+            yield consumer(pd.concat(held, ignore_index=True))
 
     return pairs.mapInPandas(run, schema)
 

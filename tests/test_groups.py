@@ -14,7 +14,7 @@ from pairfield.operators.components import connected_components
 from pairfield.operators.estimators import landy_szalay, natural
 from pairfield.operators.fof import fof, fof_labels, fof_runs
 from pairfield.operators.paircount import paircount
-from pairfield.operators.regions import in_regions, sky_regions
+from pairfield.operators.regions import in_regions, region_sets, sky_regions
 from pairfield.sources.points import SkyPointSet
 
 
@@ -77,6 +77,70 @@ def test_fof_is_brute_force_and_inclusive(spark, box):
     assert found.tolist() == label.tolist()
 
 
+def test_fof_of_clumps(spark):
+    """Clumps of points, a bridge between two of them that only points decide, and two that almost touch."""
+    rng = np.random.default_rng(9)
+    clumps = [rng.random((400, 2)) * 0.3 + c for c in ([0, 0], [1, 0], [0, 5], [0.45, 5])]
+    x = np.concatenate([*clumps, [[0.4 + 0.09 * k, 0.15] for k in range(6)], rng.random((100, 2)) * 3 + 10])
+    for ll in (0.05, 0.1, 0.17):
+        found = fof_labels(points(spark, x), ll).toPandas().set_index("id").label
+        d = distances(x, x) <= ll
+        label = np.arange(len(x))
+        while True:
+            least = np.where(d, label[None, :], len(x)).min(axis=1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        assert (found.sort_index().to_numpy() == label).all()
+
+
+def test_long_chains(spark):
+    """10,000 points in a row: one group if the length reaches the next point, else all alone."""
+    p = points(spark, np.arange(10_000) / 10_000)
+    assert {r["label"] for r in fof_labels(p, 1.1 / 10_000).select("label").distinct().collect()} == {0}
+    assert fof_labels(p, 0.8 / 10_000).where("label <> id").count() == 0
+
+
+def test_regions_take_pixels_in_order(spark):
+    """Each pixel joins the smallest region if both stay below a pixel's area; plain lists say the same."""
+    rng = np.random.default_rng(5)
+    ra, dec = rng.random(3000) * 200, np.degrees(np.arcsin(rng.random(3000) * 0.7))
+    df = spark.createDataFrame(pd.DataFrame({"ra": ra, "dec": dec, "other": 1}))
+    nside, density = 4, 0.6
+    pix = [r["pix"] for r in df.select(sky.radec2pix(nside, F.col("ra"), F.col("dec")).alias("pix")).collect()]
+    regions = []
+    for p in sorted(set(pix)):
+        area = pix.count(p) / density
+        least = min(range(len(regions)), key=lambda i: (regions[i][0], regions[i][1][0]), default=None)
+        if least is not None and regions[least][0] + area < 41252.96 / 192:
+            regions[least] = (regions[least][0] + area, [*regions[least][1], p])
+        else:
+            regions.append((area, [p]))
+    want = {p: (i, area) for i, (area, pixels) in enumerate(sorted(regions)) for p in pixels}
+    found = {r["pix"]: (r["region"], r["area"]) for r in sky_regions(df, nside, density).collect()}
+    assert found == want and any(len(pixels) > 2 for _, pixels in regions)
+    few = df.limit(40)
+    sets = list(region_sets(2, few, 0.01, few.where("ra < 100")))
+    assert sum(s[1].count() for s in sets) == 40 and sum(s[2].count() for s in sets) == few.where("ra < 100").count()
+    assert [s[0] for s in sets] == sorted(s[0] for s in sets) and sets[0][1].columns == df.columns
+
+
+def test_run_takes_any_estimator(spark):
+    """Sums of values over straps, their product, and resampling: strap i has the sum 2 i."""
+    v = -np.arange(20) % 10
+    a, b = points(spark, v), points(spark, v)
+    policy = Policy("cast(x0 as int)")
+    product = lambda p, q: p.df.agg(F.sum("x0").alias("p")).crossJoin(q.df.agg(F.sum("x0").alias("q"))).select((F.col("p") * F.col("q")).alias("value"))
+    few = [p.where("x0 < 4") for p in (a, b)]
+    cache = policy.run(product, *few)
+    assert {(r["s0"], r["s1"]): r["value"] for r in cache.collect()} == {(i, j): 4.0 * i * j for i in range(4) for j in range(4)}
+    assert resample(cache, {1: 1, 3: 2}).first()["value"] == sum(m * n * 4 * i * j for i, m in ((1, 1), (3, 2)) for j, n in ((1, 1), (3, 2)))
+    assert lengths(policy, few, {1: 1, 3: 2}) == [6, 6]
+    with pytest.raises(ValueError):
+        Policy("id").run(product, *[points(spark, np.arange(40))] * 2)
+
+
 def test_fof_subset_catalogue_and_empty(spark):
     p = points(spark, np.arange(20.0))
     active = p.df.where("id % 2 = 0").select("id")
