@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.metric import edges_below, squared
@@ -45,8 +45,12 @@ def collapsed(points: PointSet) -> PointSet:
     return PointSet(df, points.dim, points.n_weights, points.box, ("n",))
 
 
-def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bool = False, by_cells: bool | None = None) -> DataFrame:
-    """bin, edge, count, and with weighted weight0 .. (sums of products, component by component) for each edge, empty bins included."""
+def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bool = False, by_cells: bool | None = None, metric: Column | None = None, observe: Observation | None = None) -> DataFrame:
+    """bin, edge, count, and with weighted weight0 .. (sums of products, component by component) for each edge, empty bins included.
+
+    metric, a Column of a_x.. and b_x.., replaces the squared distance and has pairs counted by
+    points; so has observe, which gets their number as `pairs`.
+    """
     a.checked_against(b)
     edges = [float(edges)] if isinstance(edges, (int, float)) else [float(e) for e in edges]
     squares = _squares(edges)
@@ -57,6 +61,8 @@ def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bo
     bins = spark.createDataFrame(list(enumerate(edges)), "bin int, edge double")
     if edges[-1] < 0:
         rows = None
+    elif metric is not None or observe is not None:
+        rows = _by_points(within(a, b, edges[-1], metric=metric, observe=observe), squares, names)
     elif by_cells if by_cells is not None else (not a.periodic and edges[-1] > 0 and dense(a, b, edges[-1])):
         rows = _by_cells(a, b, edges[-1], squares, names)
     else:

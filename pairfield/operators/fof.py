@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,8 +25,12 @@ from .components import connected_components, stored
 METHODS = ("splay", "allpairs", "prefernodes", "unsafe", "heuristics", "linkedlist")
 
 
-def fof_labels(points: PointSet, linking_length: float, active: DataFrame | None = None, method: str = "splay", strategy: str = "auto") -> DataFrame:
-    """id and label of every point; r <= linking_length links. With active (ids), other points keep their own id as label."""
+def fof_labels(points: PointSet, linking_length: float, active: DataFrame | None = None, method: str = "splay", strategy: str = "auto", observe: Observation | None = None) -> DataFrame:
+    """id and label of every point; r <= linking_length links. With active (ids), other points keep their own id as label.
+
+    In an open box of up to three axes observe gets the pairs of cells that may hold friends as
+    `cells`, and those of them that their bounds link as `sure`.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     everyone = points.df.select("id")
@@ -47,13 +51,13 @@ def fof_labels(points: PointSet, linking_length: float, active: DataFrame | None
         nodes = PointSet(placed, points.dim, points.n_weights, points.box, (*points.extra, "head"), points.n_values)
         edges = within(nodes, nodes, ll, F.col("a_head") < F.col("b_head")).select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).distinct()
     else:
-        edges = _cell_links(cell.join(heads, names), points.dim, ll, side, strategy)
+        edges = _cell_links(cell.join(heads, names), points.dim, ll, side, strategy, observe)
     roots = connected_components(edges, strategy)
     labels = placed.select("id", "head").join(roots.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("label"))
     return labels if active is None else everyone.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _cell_links(placed: DataFrame, dim: int, ll: float, side: float, strategy: str) -> DataFrame:
+def _cell_links(placed: DataFrame, dim: int, ll: float, side: float, strategy: str, observe: Observation | None) -> DataFrame:
     """Edges (a, b) between the heads of cells that hold friends; enough of them for the components. placed has x0 .., g0 .. (the cell) and head."""
     spark, axes = placed.sparkSession, range(dim)
     names = [f"g{k}" for k in axes]
@@ -65,7 +69,8 @@ def _cell_links(placed: DataFrame, dim: int, ll: float, side: float, strategy: s
     apart = [F.greatest(F.lit(0.0), F.col(f"lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"hi{k}")) for k in axes]
     extent = [F.greatest(F.abs(F.col(f"hi{k}") - F.col(f"a_lo{k}")), F.abs(F.col(f"a_hi{k}") - F.col(f"lo{k}"))) for k in axes]
     met = met.select(F.col("a_head").alias("a"), F.col("head").alias("b"), squared(apart).alias("near"), squared(extent).alias("far")).where(F.col("near") <= ll * ll)
-    met, _ = stored(met.select("a", "b", (F.col("far") <= ll * ll).alias("sure")))
+    met = met.select("a", "b", (F.col("far") <= ll * ll).alias("sure"))
+    met, _ = stored(met if observe is None else met.observe(observe, F.count(F.lit(1)).alias("cells"), F.count_if("sure").alias("sure")))
     sure, open_ = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
     roots = connected_components(sure, strategy)
     label = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.epsjoin import within
@@ -29,11 +29,12 @@ def all_bins(spark: SparkSession, binning: Binning, full: bool = True) -> DataFr
     return spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
 
 
-def paircount(a: PointSet, b: PointSet, binning: Binning, mean_coords: bool = False, full: bool = True, strategy: str = "grid") -> DataFrame:
+def paircount(a: PointSet, b: PointSet, binning: Binning, mean_coords: bool = False, full: bool = True, strategy: str = "grid", metric: Column | None = None, observe: Observation | None = None) -> DataFrame:
     """For each bin (bin0 .., and ell): sum1; sum2 if a field is among the two; npairs; and with mean_coords mean0 .. (null for an empty bin).
 
     sum1 sums the products of both sides' factors (weight, times value for a field; sum1_0 .. for a
-    field of several components), sum2 those of the weights alone.
+    field of several components), sum2 those of the weights alone. metric, a Column of a_x.. and b_x..,
+    replaces the squared distance; observe gets the number of pairs within reach as `pairs`.
     """
     if a.periodic and not binning.periodic_directions:
         raise ValueError(f"{type(binning).__name__} takes positions as they are and needs an open box")
@@ -43,9 +44,9 @@ def paircount(a: PointSet, b: PointSet, binning: Binning, mean_coords: bool = Fa
         if fields or mean_coords:
             raise ValueError("counting by cells needs two sets of points and no mean coordinates")
         edges = binning.axes[0].edges.tolist()
-        counted = count(a, b, edges, weighted=True).select(F.col("bin").alias("bin0"), F.col("weight0").alias("sum1"), F.col("count").alias("npairs"))
+        counted = count(a, b, edges, weighted=True, metric=metric, observe=observe).select(F.col("bin").alias("bin0"), F.col("weight0").alias("sum1"), F.col("count").alias("npairs"))
         return _dense(spark, binning, counted, ["sum1", "npairs"], full)
-    pairs = within(a, b, binning.rmax, strategy=strategy)
+    pairs = within(a, b, binning.rmax, strategy=strategy, metric=metric, observe=observe)
     keys = _keys(binning)
     one, two = a.factors("a"), b.factors("b")
     if len(one) > 1 and len(two) > 1 and len(one) != len(two):

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_points import distances, points
 
@@ -83,7 +84,9 @@ def test_fof_of_clumps(spark):
     clumps = [rng.random((400, 2)) * 0.3 + c for c in ([0, 0], [1, 0], [0, 5], [0.45, 5])]
     x = np.concatenate([*clumps, [[0.4 + 0.09 * k, 0.15] for k in range(6)], rng.random((100, 2)) * 3 + 10])
     for ll in (0.05, 0.1, 0.17):
-        found = fof_labels(points(spark, x), ll).toPandas().set_index("id").label
+        seen = Observation()
+        found = fof_labels(points(spark, x), ll, observe=seen).toPandas().set_index("id").label
+        assert 0 < seen.get["sure"] <= seen.get["cells"] < len(x) ** 2 / 2
         d = distances(x, x) <= ll
         label = np.arange(len(x))
         while True:

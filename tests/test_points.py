@@ -146,6 +146,19 @@ def test_count_on_levels(spark, monkeypatch):
     assert counts.dense(a, b, 0.5) and not counts.dense(a, b, 0.001)
 
 
+def test_metric_and_counters(spark):
+    """A user's metric in counts and bins, and the number of pairs that were compared."""
+    x = np.random.default_rng(31).random((120, 2))
+    p, seen = points(spark, x), Observation()
+    city = F.abs(F.col("a_x0") - F.col("b_x0")) + F.abs(F.col("a_x1") - F.col("b_x1"))
+    d = np.abs(x[:, None] - x[None]).sum(axis=-1)
+    found = count(p, p, [0.1, 0.3], metric=city * city, observe=seen).orderBy("bin").toPandas()["count"].tolist()
+    assert found == [(d <= 0.1).sum(), ((d > 0.1) & (d <= 0.3)).sum()] and seen.get["pairs"] == sum(found)
+    for scheme in (RBinning, FastRBinning):
+        bins = paircount(p, p, scheme([0.05, 0.1, 0.3]), metric=city * city).orderBy("bin0").toPandas().npairs.tolist()
+        assert bins == [(d <= 0.05).sum(), ((d > 0.05) & (d <= 0.1)).sum(), ((d > 0.1) & (d <= 0.3)).sum(), 0]
+
+
 def test_point_set_rules(spark):
     df = spark.createDataFrame([(1, 1, 1.0, None), (2, 2, 2.0, 1.0)], "id long, i int, x double, w double")
     with pytest.raises(TypeError):
