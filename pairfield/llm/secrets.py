@@ -2,13 +2,15 @@
 
 Candidates are the matches of a few expressions, leftmost and non-overlapping for each kind: three
 base kinds and further credential forms. Each candidate's value is hashed, and for each hash the
-distinct owners and repositories that have it are counted. A value that several owners share is a
-copied example; one that few owners have looks live. Base matches are always reported; matches of
-the further forms are reported where they look live.
+distinct owners and repositories that have it are counted. A value that several owners share, or two
+owners in many repositories, is a copied example; what belongs to one owner, however often, or to few
+looks live. Base matches are always reported; matches of the further forms where they look live.
 
 Positions are code points: the text splits at the matches, so a match starts where the lengths of
 the gaps and matches before it end. A null text counts as empty; a null owner is an owner of its
-own. Repeated rows each have their result, and count once for ownership if their ids are equal.
+own. Texts are scanned whole, however long. Repeated rows each have their result, and count once for
+ownership if their ids are equal. An empty table gives an empty result. Names of other columns don't
+matter; masked() returns them as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialised
+from .common import fresh, materialised
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, expression, group of the value, least length of the value; shorter runs can't match where the expression itself counts.
@@ -28,8 +30,8 @@ FURTHER = (
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----[ \n\r]*([A-Za-z0-9+/=]{16,})", 1, 16),
 )
 KINDS = BASE + FURTHER
-#: A value of this many owners or more is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of this many owners or more is a copied example, and one of two owners that is in this many repositories or more.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
 MASK = "[SECRET]"
 
 
@@ -65,7 +67,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, (*_, n) in enumerate(KINDS)])
     kept = placed.withColumn("value", value).where(F.length("value") >= least).withColumn("hash", F.sha2("value", 256))
     matches = kept.select("row", "key", "doc_id", "owner", "repository", "kind", "start", "stop", "hash")
-    live = matches.join(ownership(matches), "hash").withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
+    live = matches.join(ownership(matches), "hash").withColumn("live", ~copied(F.col("owners"), F.col("repositories")))
     columns = ["row", "key", "doc_id", "kind", "start", "stop", "hash", "owners", "repositories", "live"]
     empty = {c: F.lit(None).cast(t) for c, t in live.select(columns).dtypes}
     # each document's first row, or the one row of a document without matches, stands for the document
@@ -73,6 +75,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return live.select(columns).unionByName(heads)
 
 
+def copied(owners: Column, repositories: Column) -> Column:
+    """Whether a value with so many distinct owners and repositories is a copied example."""
+    return (owners >= EXAMPLE_OWNERS) | ((owners > 1) & (repositories >= EXAMPLE_REPOSITORIES))
+
+
 def ownership(matches: DataFrame) -> DataFrame:
     """hash, owners and repositories: in how many distinct ones each value occurs.
 
@@ -92,32 +99,36 @@ def _joined(spans: Column) -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, the numbers of base matches, digests of base and all reported spans, and how many of them look live, of each row that candidates() scanned."""
+    """doc_id, the numbers of base matches, digests of base and all reported spans, how many matches look live and how many are copied examples, and the most owners and repositories that a match has (0: no match), of each row that candidates() scanned."""
     base = len(BASE)
     span = F.when((F.col("kind") < base) | F.col("live"), F.struct("start", "kind", "stop"))
     rows = found.groupBy("row", "doc_id").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)],
         F.count(F.when(F.col("live"), 1)).alias("n_live"),
+        F.count(F.when(~F.col("live"), 1)).alias("n_example"),
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(f"most_{c}") for c in ("owners", "repositories")],
         F.array_sort(F.collect_list(span)).alias("all"),
     )
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.filter("all", lambda x: x["kind"] < base)), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_live")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.filter("all", lambda x: x["kind"] < base)), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_live", "n_example", "most_owners", "most_repositories")
 
 
 def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every live-looking match in the text replaced by MASK (and length_col brought up to date); other rows and columns as they are.
 
-    Only ids and places are joined to the texts, by a key of id and text; equal rows share it.
+    Only ids and places are joined to the texts, by id and a hash of id and text; equal rows share them.
     """
-    live = found.where("live").dropDuplicates(["key", "kind", "start"])
-    earlier = W.partitionBy("key").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
-    cuts = live.withColumn("done", F.coalesce(F.max("stop").over(earlier), F.lit(0))).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "done", "stop"))).alias("_cuts"))
-    text = F.col(text_col)
-    part = F.transform("_cuts", lambda x: F.when(x["start"] >= x["done"], F.concat(F.substring(text, x["done"] + 1, x["start"] - x["done"]), F.lit(MASK))).otherwise(F.lit("")))
-    last = F.array_max(F.transform("_cuts", lambda x: x["stop"]))
-    new = F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(F.concat_ws("", part), F.substring(text, last + 1, F.length(text))))
-    keyed = docs.withColumn("_key", F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))).join(cuts.withColumnRenamed("key", "_key"), "_key", "left").withColumn(text_col, new)
+    key, id_, cuts_ = fresh(docs, "key", "id", "cuts")
+    live = found.where("live").dropDuplicates(["key", "doc_id", "kind", "start"])
+    earlier = W.partitionBy("key", "doc_id").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
+    cuts = live.withColumn("done", F.coalesce(F.max("stop").over(earlier), F.lit(0))).groupBy(F.col("key").alias(key), F.col("doc_id").alias(id_)).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "done", "stop"))).alias(cuts_))
+    text = docs[text_col]
+    part = F.transform(cuts_, lambda x: F.when(x["start"] >= x["done"], F.concat(F.substring(text, x["done"] + 1, x["start"] - x["done"]), F.lit(MASK))).otherwise(F.lit("")))
+    last = F.array_max(F.transform(cuts_, lambda x: x["stop"]))
+    new = F.when(F.col(cuts_).isNull(), text).otherwise(F.concat(F.concat_ws("", part), F.substring(text, last + 1, F.length(text))))
+    same = (F.xxhash64(docs[id_col], F.coalesce(text, F.lit(""))) == cuts[key]) & docs[id_col].cast("long").eqNullSafe(cuts[id_])
+    keyed = docs.join(cuts, same, "left").withColumn(text_col, new)
     if length_col in docs.columns:
-        keyed = keyed.withColumn(length_col, F.when(F.col("_cuts").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+        keyed = keyed.withColumn(length_col, F.when(F.col(cuts_).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return keyed.select(docs.columns)
 
 
@@ -140,9 +151,10 @@ e AS (SELECT r, doc_id, owner, kind, least, m[i] AS x, CAST(list_sum(list_transf
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a WHERE len(m) > 0)),
 v AS (SELECT *, {value} AS val FROM e),
 c AS (SELECT r, doc_id, owner, kind, s, s + length(x) AS f, sha256(val) AS h FROM v WHERE length(val) >= least),
-o AS (SELECT h, count(DISTINCT owner) AS owners FROM c GROUP BY h),
-l AS (SELECT c.*, owners < {EXAMPLE_OWNERS} AS live, {names} || ':' || s || ':' || f AS span FROM c JOIN o USING (h)),
-g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (live) AS n_live,
+o AS (SELECT h, count(DISTINCT owner) AS owners, count(DISTINCT (owner, doc_id)) AS repositories FROM c GROUP BY h),
+l AS (SELECT c.*, owners, repositories, NOT (owners >= {EXAMPLE_OWNERS} OR owners > 1 AND repositories >= {EXAMPLE_REPOSITORIES}) AS live, {names} || ':' || s || ':' || f AS span FROM c JOIN o USING (h)),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS most_owners, max(repositories) AS most_repositories,
              string_agg(span, ',' ORDER BY s, kind) FILTER (kind < {len(BASE)}) AS b, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < {len(BASE)} OR live) AS spans FROM l GROUP BY r)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN g USING (r)"""
