@@ -9,10 +9,11 @@
 4. Isotonic calibration: each fold's rows are scored by the model that didn't see them; counts of
    labels by bins of that score are made monotone by pooling adjacent violators.
 
-A null text counts as the empty one, whose statistics are all 0. Several labels of one document
-count as their rounded mean; null labels don't count. Without labels every score is 0.5. Scores
-depend on text alone, so equal texts have equal scores; a null doc_id counts as the empty string
-when rows are held out.
+A null text counts as the empty one, whose statistics are all 0; a long one is read whole. Several
+labels of one document count as their rounded mean; null labels don't count. Without labels every
+score is 0.5. Scores depend on text alone, so equal texts and repeated rows have equal scores; a null
+doc_id counts as the empty string when rows are held out. An empty table gives an empty result. Only
+the id, the text and the labels are read, so names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
     """doc_id, held_out, score and predicted of each row of docs; learnt from labelled rows whose crc32(doc_id) leaves another remainder."""
     stats = materialised(with_statistics(docs))
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod).cast("int") % FOLDS
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")  # another hash than the one that holds rows out
     model = fit(stats.where(~held_out(F.col("doc_id"), mod, remainder)).join(known, "doc_id").withColumn("fold", fold))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
