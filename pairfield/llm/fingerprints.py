@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, range_index
+from .common import partitions, range_bounds, range_count, range_index
 
 SAMPLES, SHINGLE = 64, 5
 #: No sample of a text is as high as DEPTH over its weight, but with a probability of 2e-8, in which case its code is that of an empty text.
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _ranged(docs: DataFrame) -> DataFrame:
     """docs by ranges of doc_id, with place (1, 2, ... in ascending order), ghost (a copy of the document before the range) and below (the text of the document before)."""
-    parts = 4 * partitions(docs.sparkSession)
+    parts = range_count(docs, 4 * partitions(docs.sparkSession))
     bounds = range_bounds(docs, "doc_id", parts)
     keyed = docs.withColumn("part", range_index(F.col("doc_id"), bounds)).withColumn("key", F.coalesce("doc_id", F.lit(_LOWEST)))
     tops = {r["part"]: r["key"] for r in keyed.groupBy("part").agg(F.max("key").alias("key")).collect()}  # two numbers for each range

@@ -11,7 +11,9 @@ boundary symbol; letters beyond a-z share hashed symbols, so the alphabet has a
 
 A null text, or one without a letter, is `und` with score 0; so is every text when there is nothing
 to learn from. Rows whose language is null are not learnt from. Equal cosines go to the language
-that sorts first. A null doc_id counts as the empty string when rows are held out.
+that sorts first. A null doc_id counts as the empty string when rows are held out. Long texts are
+read whole, in slices; repeated rows repeat results and are learnt from as often; an empty table
+gives an empty result. identified() returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations

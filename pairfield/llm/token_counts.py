@@ -5,8 +5,9 @@ encodes as exactly one token when they stand alone as a pre-token. Pre-tokens fo
 count as one; only the others are merged, by the library's own model, once per distinct word.
 
 Nulls count as the empty text (0 bytes, 0 tokens). Special strings inside a text count as one token,
-as by the library's default. A null id is passed through. Rows are independent of each other, so
-repeated rows give repeated results and an empty table gives an empty one.
+as by the library's default. A null id is passed through. A long text is counted whole, in pieces
+that no pre-token crosses. Rows are independent of each other, so repeated rows give repeated results
+and an empty table gives an empty one; names of other columns don't matter.
 """
 
 from __future__ import annotations
