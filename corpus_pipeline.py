@@ -1,10 +1,14 @@
 """From documents to token digests: language ID, near-dedup, decontamination, secret masking, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. run() writes each stage's rows as Parquet and reads them back for the next.
+of documents. run() writes each stage's rows as Parquet and reads them back for the next; a stage's
+table goes when the next one's is there.
 
 Rows with null texts have no language and leave in the first stage; rows with a null doc_id are
-kept by every stage that keeps their text. Empty tables give empty results.
+kept by every stage that keeps their text. Texts are processed whole, however long. Of repeated rows
+and of rows with one doc_id near_dedup keeps one. Of a class of near duplicates the document with
+the least id stays. Further columns are passed on as they are, whatever their names, up to the last
+stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairfield.llm import bpe, dartminhash, decontam, langid, secrets
-from pairfield.llm.common import scratch
+from pairfield.llm.common import removed, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +59,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the table documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = scratch(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if held:
+                removed(spark, held)
+            held = path
     return docs
