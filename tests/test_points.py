@@ -9,13 +9,14 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pairfield.operators import boxes, counts
+from pairfield.operators import pairs as operators_pairs
 from pairfield.operators.binning import FastRBinning, RBinning, RmuBinning
 from pairfield.operators.boxes import integrate, integrate_many
 from pairfield.operators.counts import collapsed, count
 from pairfield.operators.force import count_kernel, force, plummer_kernel
 from pairfield.operators.forest import make_forest
 from pairfield.operators.paircount import paircount
-from pairfield.operators.pairs import enum, enum_distinct, iterate, process
+from pairfield.operators.pairs import enum, enum_distinct, iterate, process, spooled
 from pairfield.plans import epsjoin
 from pairfield.sources.points import FieldSet, PointSet
 
@@ -101,6 +102,25 @@ def test_consumers(spark):
     assert sum(1 for _ in iterate(pairs)) == pairs.count()
 
 
+def test_iterator_and_its_table_hold_little_at_once(spark, monkeypatch):
+    """However many pairs: a task's result on the driver has about PART of them, and what is written at once SPOOL at most."""
+    x = np.random.default_rng(5).random((60, 2))
+    p = points(spark, x)
+    pairs = enum(p, p, 0.5).coalesce(1)
+    monkeypatch.setattr(operators_pairs, "PACK", 30)
+    monkeypatch.setattr(operators_pairs, "PART", 50)
+    monkeypatch.setattr(operators_pairs, "SPOOL", 100)
+    parts, local = [], type(pairs).toLocalIterator
+    monkeypatch.setattr(type(pairs), "toLocalIterator", lambda df, **more: parts.append(df.rdd.glom().map(len).collect()) or local(df, **more))
+    written, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda s, data, *more: written.append(len(data)) or make(s, data, *more))
+    found = spooled(spark, iterate(pairs), "i long, j long, r double").toPandas()
+    d = distances(x, x)
+    assert {(i, j): r for i, j, r in found.itertuples(index=False)} == {(i, j): d[i, j] for i, j in zip(*np.nonzero(d <= 0.5))} and len(found) == (d <= 0.5).sum()
+    assert len(parts[0]) > 10 and max(parts[0]) <= 3 and max(written) == 100
+    assert spooled(spark, iter([]), "i long").count() == 0
+
+
 @pytest.mark.parametrize("box", [None, 1.0])
 def test_count(spark, box):
     rng = np.random.default_rng(7)
