@@ -37,19 +37,22 @@ def _squares(edges: Sequence[float]) -> list[float]:
 
 
 def collapsed(points: PointSet) -> PointSet:
-    """One point for each distinct position, with n (how many there were) and their weights summed.
+    """One point for each distinct position, with n (how many there were) and their weights summed; f0 .. are the sums of what factors() multiplies.
 
-    For data on a lattice this makes a join small before any pair is formed.
+    A pair of positions then stands for all pairs between their points, which have the same distance, so copies make no pairs of their own.
     """
-    df = points.df.groupBy(*points.xs).agg(F.min("id").alias("id"), F.count("*").alias("n"), *[F.sum(w).alias(w) for w in points.ws])
-    return PointSet(df, points.dim, points.n_weights, points.box, ("n",))
+    n = F.sum("n") if "n" in points.extra else F.count("*")
+    factors = [F.sum(f).alias(f"f{k}") for k, f in enumerate(points.factors())] if points.n_values else []
+    df = points.df.groupBy(*points.xs).agg(F.min("id").alias("id"), n.alias("n"), *[F.sum(w).alias(w) for w in points.ws], *factors)
+    return PointSet(df, points.dim, points.n_weights, points.box, ("n", *[f"f{k}" for k in range(len(factors))]))
 
 
 def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bool = False, by_cells: bool | None = None, metric: Column | None = None, observe: Observation | None = None) -> DataFrame:
     """bin, edge, count, and with weighted weight0 .. (sums of products, component by component) for each edge, empty bins included.
 
-    metric, a Column of a_x.. and b_x.., replaces the squared distance and has pairs counted by
-    points; so has observe, which gets their number as `pairs`.
+    Points of one position count as one with their number. metric, a Column of a_x.. and b_x..,
+    replaces the squared distance and has pairs counted by points; so has observe, which gets their
+    number as `pairs`.
     """
     a.checked_against(b)
     edges = [float(edges)] if isinstance(edges, (int, float)) else [float(e) for e in edges]
@@ -57,6 +60,8 @@ def count(a: PointSet, b: PointSet, edges: Sequence[float] | float, weighted: bo
     if weighted and a.n_weights != b.n_weights:
         raise ValueError("weights of different sizes")
     names = [f"weight{k}" for k in range(a.n_weights)] if weighted else []
+    if metric is None and observe is None:
+        a, b = collapsed(a), collapsed(b)
     spark = a.df.sparkSession
     bins = spark.createDataFrame(list(enumerate(edges)), "bin int, edge double")
     if edges[-1] < 0:
