@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.epsjoin import within
 from ..sources.points import PointSet
 from .binning import Binning
-from .counts import count
+from .counts import collapsed, count
 
 
 def _keys(binning: Binning) -> list[str]:
@@ -46,9 +46,15 @@ def paircount(a: PointSet, b: PointSet, binning: Binning, mean_coords: bool = Fa
         edges = binning.axes[0].edges.tolist()
         counted = count(a, b, edges, weighted=True, metric=metric, observe=observe).select(F.col("bin").alias("bin0"), F.col("weight0").alias("sum1"), F.col("count").alias("npairs"))
         return _dense(spark, binning, counted, ["sum1", "npairs"], full)
-    pairs = within(a, b, binning.rmax, strategy=strategy, metric=metric, observe=observe)
     keys = _keys(binning)
     one, two = a.factors("a"), b.factors("b")
+    many = F.lit(1).cast("long")
+    if metric is None and observe is None:
+        # positions for points: a pair's bins, channels and coordinates follow from the two positions
+        one, two = ([F.col(f"{side}_f{k}") for k in range(p.n_values)] or [F.col(f"{side}_w0")] for p, side in ((a, "a"), (b, "b")))
+        a, b = collapsed(a), collapsed(b)
+        many = F.col("a_n") * F.col("b_n")
+    pairs = within(a, b, binning.rmax, strategy=strategy, metric=metric, observe=observe)
     if len(one) > 1 and len(two) > 1 and len(one) != len(two):
         raise ValueError("fields of different sizes")
     width = max(len(one), len(two))
@@ -59,22 +65,23 @@ def paircount(a: PointSet, b: PointSet, binning: Binning, mean_coords: bool = Fa
         *[i.alias(k) for i, k in zip(binning.digitize(a.dim, a.box), keys)],
         *[f.alias(n) for f, n in zip(factors, names)],
         *[(F.col("a_w0") * F.col("b_w0")).alias("sum2")] * fields,
+        many.alias("npairs"),
         *[w.alias(f"_l{ell}") for w, ell in zip(binning.weights(a.dim, a.box), binning.channels)],
         *[(binning.reported(c) if k == 0 else c).alias(f"mean{k}") for k, c in enumerate(coordinates)] * mean_coords,
     )
     more = ["sum2"] * fields
     if binning.channels:
-        aggregated = computed.groupBy(*keys).agg(*[F.sum(F.col(n) * F.col(f"_l{ell}")).alias(f"{n}_l{k}") for n in names for k, ell in enumerate(binning.channels)], *[F.sum(c).alias(c) for c in more], F.count("*").alias("npairs"), *_means(mean_coords, len(coordinates)))
+        aggregated = computed.groupBy(*keys).agg(*[F.sum(F.col(n) * F.col(f"_l{ell}")).alias(f"{n}_l{k}") for n in names for k, ell in enumerate(binning.channels)], *[F.sum(c).alias(c) for c in more], F.sum("npairs").alias("npairs"), *_means(mean_coords, len(coordinates)))
         channels = F.explode(F.array(*[F.struct(F.lit(ell).alias("ell"), *[F.coalesce(f"{n}_l{k}", F.lit(0.0)).alias(n) for n in names]) for k, ell in enumerate(binning.channels)]))
         means = [f"mean{k}" for k in range(len(coordinates))] * mean_coords
         aggregated = aggregated.select(*keys, *more, "npairs", *means, channels.alias("c")).select(*keys, "c.ell", *[F.col(f"c.{n}") for n in names], *more, "npairs", *means)
     else:
-        aggregated = computed.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in (*names, *more)], F.count("*").alias("npairs"), *_means(mean_coords, len(coordinates)))
+        aggregated = computed.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in (*names, *more)], F.sum("npairs").alias("npairs"), *_means(mean_coords, len(coordinates)))
     return _dense(spark, binning, aggregated, [*names, *more, "npairs"], full)
 
 
 def _means(wanted: bool, n: int) -> list:
-    return [F.avg(f"mean{k}").alias(f"mean{k}") for k in range(n)] if wanted else []
+    return [(F.sum(F.col(f"mean{k}") * F.col("npairs")) / F.sum("npairs")).alias(f"mean{k}") for k in range(n)] if wanted else []
 
 
 def _dense(spark: SparkSession, binning: Binning, sums: DataFrame, zero: list[str], full: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pairfield.operators import boxes, counts
+from pairfield.operators import paircount as operators_paircount
 from pairfield.operators import pairs as operators_pairs
 from pairfield.operators.binning import FastRBinning, RBinning, RmuBinning
 from pairfield.operators.boxes import integrate, integrate_many
@@ -146,6 +147,35 @@ def test_count_by_cells_equals_points_and_self_pairs_are_in_bin_0(spark):
     assert [r["count"] for r in count(c, c, edges).orderBy("bin").collect()] == [r["count"] for r in one]
 
 
+@pytest.mark.parametrize("box", [None, 10.0])
+def test_copies_of_a_position_make_no_pairs_of_their_own(spark, box, monkeypatch):
+    """120,000 points on 60 positions, 14,400,000,000 pairs at most: joined are 60 by 60; counts, sums, means and fields are those of all points."""
+    rng = np.random.default_rng(17)
+    x, times = rng.integers(0, 10, (60, 2)).astype(float), 2000
+    x = np.unique(x, axis=0)
+    joined = []
+    for module in (counts, operators_paircount):
+        monkeypatch.setattr(module, "within", lambda a, b, *more, **named: joined.append(a.df.count()) or epsjoin.within(a, b, *more, **named))
+    one = spark.createDataFrame([(k, float(p), float(q), float(k % 5 + 1), float(k % 3)) for k, (p, q) in enumerate(x)], "id long, p double, q double, w double, v double")
+    df = one.crossJoin(spark.range(times).select((F.col("id") * 1000).alias("shift"))).withColumn("id", F.col("id") + F.col("shift"))
+    p, f = PointSet.of(df, "id", ["p", "q"], "w", boxsize=box), FieldSet.of(df.withColumn("v", F.col("v") + F.pmod("shift", F.lit(3000)) / 1000), "id", ["p", "q"], "v", "w", boxsize=box)
+    w = np.arange(len(x)) % 5 + 1.0
+    v = np.arange(len(x)) % 3 + np.mean(np.arange(times) % 3)  # of the copies of a position
+    d, edges = distances(x, x, box), [0.0, 1.5, 3.3]
+    at = np.searchsorted(edges, d)
+    for by_cells in (None, False):
+        found = count(p, p, edges, weighted=True, by_cells=by_cells).orderBy("bin").toPandas()
+        assert found["count"].tolist() == [int((at == k).sum()) * times**2 for k in range(3)]
+        assert found.weight0.tolist() == [float((np.outer(w, w) * (at == k)).sum()) * times**2 for k in range(3)]
+    found = paircount(p, p, RBinning([0.5, 1.5, 3.3], "irregular"), mean_coords=True, full=False).orderBy("bin0").toPandas()
+    bins = [(d > 0.5) & (d <= 1.5), (d > 1.5) & (d <= 3.3)]
+    assert found.npairs.tolist() == [int(m.sum()) * times**2 for m in bins] and found.sum1.tolist() == [float((np.outer(w, w) * m).sum()) * times**2 for m in bins]
+    assert np.allclose(found.mean0, [d[m].mean() for m in bins], rtol=1e-12)
+    found = paircount(f, p, RBinning([0.5, 1.5, 3.3], "irregular"), full=False).orderBy("bin0").toPandas()
+    assert np.allclose(found.sum1, [(np.outer(w * v, w) * m).sum() * times**2 for m in bins], rtol=1e-12) and found.sum2.tolist() == [float((np.outer(w, w) * m).sum()) * times**2 for m in bins]
+    assert len(joined) == 4 and set(joined) == {len(x)}
+
+
 def test_count_on_levels(spark, monkeypatch):
     """Dense points: several levels, the same counts as by points; and the estimate that chooses."""
     rng = np.random.default_rng(11)
