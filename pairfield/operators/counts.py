@@ -12,6 +12,7 @@ bounds are rounded as the distances are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -29,11 +30,22 @@ COSTLY = 1_000_000_000
 
 
 def _squares(edges: Sequence[float]) -> list[float]:
-    """Edges for squared distances; a negative edge is below all of them and catches nothing."""
+    """Edges for squared distances; a negative edge is below all of them and catches nothing.
+
+    The edge of a square is the greatest number whose rounded root is not above the edge, so a square is in the bin of its root. Above the last edge's own square there is no pair.
+    """
     values = [float(e) for e in edges]
     if values != sorted(values):
         raise ValueError("edges ascend")
-    return [e * e if e >= 0 else -1.0 for e in values]
+
+    def square(e: float) -> float:
+        s = e * e
+        while s < math.inf and math.sqrt(more := math.nextafter(s, math.inf)) <= e:
+            s = more
+        return s
+
+    last = values[-1] * values[-1]
+    return [min(square(e), last) if e >= 0 else -1.0 for e in values]
 
 
 def collapsed(points: PointSet) -> PointSet:

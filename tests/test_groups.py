@@ -1,5 +1,8 @@
 """Friends of friends, components, resampling, estimators, the sky and streams."""
 
+import math
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from test_points import distances, points
 
 from pairfield.functions import sky
+from pairfield.operators import counts
 from pairfield.operators.binning import AngularBinning, FlatSkyMultipoleBinning, MultipoleBinning, RBinning
 from pairfield.operators.bootstrap import Policy, lengths, resample
 from pairfield.catalog import QUERIES
@@ -218,3 +222,23 @@ def test_angles_and_regions(spark):
     assert in_regions(df, regions, 2).where("region IS NULL").count() == 0
     area = regions.select("region", "area").distinct().orderBy("region").toPandas().area
     assert area.is_monotonic_increasing
+
+
+def test_unit_vectors_are_those_of_sql(spark):
+    """Bit by bit, so that a pair whose angle is an edge has the same bin; null and NaN stay what they are."""
+    k = np.arange(20000)
+    sky_df = pd.DataFrame({"id": k, "ra": k * 137.5 % 360, "dec": (k * 7919 % 1000000 / 100) / 10000 * 80})
+    found = SkyPointSet.of(spark.createDataFrame(sky_df), "id", "ra", "dec").df.orderBy("id").toPandas()
+    con = duckdb.connect()
+    sql = con.execute("SELECT sin(radians(ra)) * cos(radians(dec)) AS x, cos(radians(ra)) * cos(radians(dec)) AS y, sin(radians(dec)) AS z FROM sky_df ORDER BY id").df()
+    assert (found.x0 == sql.x).all() and (found.x1 == sql.y).all() and (found.x2 == sql.z).all()
+    odd = spark.createDataFrame([(1, None, 0.0), (2, 0.0, None), (3, float("nan"), 0.0), (4, float("inf"), 0.0), (5, 90.0, 0.0)], "id long, ra double, dec double")
+    rows = SkyPointSet.of(odd, "id", "ra", "dec").df.orderBy("id").collect()
+    assert [r["id"] for r in rows] == [3, 4, 5] and [math.isnan(r["x0"]) for r in rows] == [True, True, False] and rows[2]["x0"] == 1.0
+
+
+def test_a_square_is_in_the_bin_of_its_root():
+    for e in (0.0, 0.0022689276370736895, 0.1, 1.3, 2.9, 1e-200):
+        edge = counts._squares([e, 10.0])[0]
+        assert math.sqrt(edge) <= e < math.sqrt(math.nextafter(edge, math.inf))
+    assert counts._squares([1.0, 1.0]) == [1.0, 1.0] and counts._squares([-1.0, math.inf]) == [-1.0, math.inf]
