@@ -63,30 +63,59 @@ def _share(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(0x1FFFFF) + F.lit(0.5)) / F.lit(float(1 << 21))
 
 
-def samples(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """keys and codes, the array of its K sample codes, of each text; no row of texts shares its keys.
+def samples(texts: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """keys and codes (of several columns codes0, codes1 ..), the array of the K sample codes of each text; no row of texts shares its keys.
 
     The samples are made AT_ONCE together, side by side in one row, so a term is looked up in the
-    aggregation once for so many samples.
+    aggregation once for so many samples. A term that occurs once in the first two texts of a row
+    has the same samples in both and is drawn once.
     """
+    sides = range(len(columns))
+    every = lambda name: [f"{name}{s}" for s in sides]
     # a projection for each step: what is used several times is then made once
-    terms = texts.select(*keys, words_of(F.col(column)).alias("words")).select(*keys, terms_of(F.col("words")).alias("terms"))
-    terms = terms.select(*keys, "terms", F.size("terms").alias("total"))
-    terms = terms.select(*keys, "terms", "total", (F.size(F.array_distinct("terms")) < F.col("total")).alias("repeats"))
+    terms = texts.select(*keys, *[words_of(F.col(c)).alias(f"words{s}") for s, c in enumerate(columns)]).select(*keys, *[terms_of(F.col(f"words{s}")).alias(f"terms{s}") for s in sides])
+    terms = terms.select(*keys, *every("terms"), *[F.size(f"terms{s}").alias(f"total{s}") for s in sides])
+    terms = terms.select(*keys, *every("terms"), *every("total"), *[(F.size(F.array_distinct(f"terms{s}")) < F.col(f"total{s}")).alias(f"repeats{s}") for s in sides])
     # most texts repeat no term; in the others equal terms are brought together by sorting
-    terms = terms.select(*keys, F.when(F.col("repeats"), F.sort_array("terms")).otherwise(F.col("terms")).alias("terms"), "total", "repeats")
-    last = F.filter(F.sequence(F.lit(1), F.col("total")), lambda i: (i == F.col("total")) | (F.get("terms", i - 1) != F.get("terms", i)))
-    terms = terms.select(*keys, "terms", "total", F.when(F.col("repeats"), last).alias("last"))
-    counted = F.transform("last", lambda i, k: F.struct(F.get("terms", i - 1).alias("h"), (i - F.when(k == 0, F.lit(0)).otherwise(F.get("last", k - 1))).alias("n")))
-    once = F.arrays_zip(F.col("terms").alias("h"), F.array_repeat(F.lit(1), F.col("total")).alias("n"))
+    terms = terms.select(*keys, *[F.when(F.col(f"repeats{s}"), F.sort_array(f"terms{s}")).otherwise(F.col(f"terms{s}")).alias(f"terms{s}") for s in sides], *every("total"), *every("repeats"))
+
+    def last(s: int) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.col(f"total{s}")), lambda i: (i == F.col(f"total{s}")) | (F.get(f"terms{s}", i - 1) != F.get(f"terms{s}", i)))
+
+    def counted(s: int) -> Column:
+        return F.transform(f"last{s}", lambda i, k: F.struct(F.get(f"terms{s}", i - 1).alias("h"), (i - F.when(k == 0, F.lit(0)).otherwise(F.get(f"last{s}", k - 1))).alias("n")))
+
+    terms = terms.select(*keys, *every("terms"), *every("total"), *[F.when(F.col(f"repeats{s}"), last(s)).alias(f"last{s}") for s in sides])
+    terms = terms.select(*keys, *every("terms"), *every("total"), *[F.when(F.col(f"last{s}").isNotNull(), counted(s)).alias(f"counted{s}") for s in sides])
+    nothing = F.array().cast("array<struct<h:bigint,n:int>>")
+    terms = terms.select(
+        *keys,
+        *every("total"),
+        *[F.when(F.col(f"counted{s}").isNotNull(), F.transform(F.filter(f"counted{s}", lambda x: x.n == 1), lambda x: x.h)).otherwise(F.col(f"terms{s}")).alias(f"once{s}") for s in sides],
+        *[F.coalesce(F.filter(f"counted{s}", lambda x: x.n > 1), nothing).alias(f"more{s}") for s in sides],
+    )
+    shares = len(columns) > 1
+    if shares:
+        terms = terms.select("*", F.array_intersect("once0", "once1").alias("both"))
+        terms = terms.select(*keys, *every("total"), *every("more"), "both", *[(F.array_except(f"once{s}", "both") if s < 2 else F.col(f"once{s}")).alias(f"once{s}") for s in sides])
+    single = lambda name: F.arrays_zip(F.col(name).alias("h"), F.array_repeat(F.lit(1), F.size(name)).alias("n"))
+    own = [F.struct(F.lit(s).alias("of"), F.col(f"total{s}").alias("total"), F.concat(single(f"once{s}"), f"more{s}").alias("x")) for s in sides]
+    # the bound on a term of two texts is that of the lighter one, which keeps more
+    common = [F.struct(F.lit(-1).alias("of"), F.least("total0", "total1").alias("total"), F.concat(single("both"), nothing).alias("x"))] if shares else []
+    groups = terms.select(*keys, F.explode(F.array(*own, *common)).alias("g")).select(*keys, "g.of", "g.total", "g.x")
     # a text without terms has one row, without a weight, that stands for it
-    single = terms.select(*keys, "total", F.explode_outer(F.when(F.col("last").isNotNull(), counted).otherwise(once)).alias("x"))
-    weighted = single.select(*keys, F.col("x.h").alias("h"), F.ln("x.n").alias("l"), (DEPTH * F.col("x.n") / F.col("total")).alias("most"))
+    rows = groups.select(*keys, "of", "total", F.explode_outer("x").alias("x"))
+    weighted = rows.select(*keys, "of", F.col("x.h").alias("h"), F.ln("x.n").alias("l"), (DEPTH * F.col("x.n") / F.col("total")).alias("most"))
     drawn = weighted.select("*", F.explode(F.array(*[F.lit(k) for k in range(0, SAMPLES, AT_ONCE)])).alias("block"))
-    least = _drawn(drawn).groupBy(*keys, "block").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(AT_ONCE)])
-    codes = F.array(*[F.when(F.col(f"m{k}") != _NO, F.col(f"m{k}").bitwiseAND(0xFFFFFF).cast("int")).otherwise(F.lit(_EMPTY)) for k in range(AT_ONCE)])
-    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", codes.alias("codes")))).alias("parts"))
-    return parts.select(*keys, F.flatten("parts.codes").alias("codes"))
+    least = _drawn(drawn).groupBy(*keys, "of", "block").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(AT_ONCE)])
+    if shares:
+        mine = lambda s: F.col("of").isin(s, -1) if s < 2 else F.col("of") == s
+        least = least.groupBy(*keys, "block").agg(*[F.min(F.when(mine(s), F.col(f"m{k}"))).alias(f"m{s}_{k}") for s in sides for k in range(AT_ONCE)])
+    else:
+        least = least.select(*keys, "block", *[F.col(f"m{k}").alias(f"m0_{k}") for k in range(AT_ONCE)])
+    codes = [F.array(*[F.when(F.col(f"m{s}_{k}") != _NO, F.col(f"m{s}_{k}").bitwiseAND(0xFFFFFF).cast("int")).otherwise(F.lit(_EMPTY)) for k in range(AT_ONCE)]) for s in sides]
+    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", *[c.alias(f"codes{s}") for s, c in enumerate(codes)]))).alias("parts"))
+    return parts.select(*keys, *[F.flatten(f"parts.codes{s}").alias(f"codes{s}" if shares else "codes") for s in sides])
 
 
 def _drawn(terms: DataFrame) -> DataFrame:
@@ -161,8 +190,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     about = rows.select(*keys, "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     order = W.partitionBy("part").orderBy("place")
     # with doc_id among the keys both uses of rows read the same columns, so Spark deals the texts out once
-    both = rows.select(*keys, "doc_id", F.posexplode(F.array("text", "edited")).alias("side", "one"))
-    made = samples(both, [*keys, "doc_id", "side"], "one").groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, F.col("codes"))).alias(f"{c}_codes") for i, c in enumerate(("text", "edited"))])
+    made = samples(rows, [*keys, "doc_id"], "text", "edited").select(*keys, F.col("codes0").alias("text_codes"), F.col("codes1").alias("edited_codes"))
     made = made.withColumn("next_codes", F.lag("text_codes").over(order))
     found = made.select(
         *keys,

@@ -417,6 +417,19 @@ def test_an_inserted_word_changes_the_terms_beside_it_alone(spark):
     assert words_of == [list("abcdef"), ["one", "two"], ["漢", "字", "a"], ["x"] * 66]
 
 
+def test_terms_of_both_texts_are_drawn_once(spark, monkeypatch):
+    """The codes are those of each text alone, and of a term that both have once there is one row."""
+    words = [f"w{k}" for k in range(60)]
+    pairs = [(1, " ".join(words), " ".join(words[:45])), (2, " ".join(words[:9] * 5 + words[20:40]), " ".join(words[:9] * 3 + words[20:30])), (3, "", "a b c"), (4, "a b", ""), (5, "", ""), (6, "one", "one")]
+    df = spark.createDataFrame(pairs, "id int, a string, b string")
+    drawn, draw = [], fingerprints._drawn
+    monkeypatch.setattr(fingerprints, "_drawn", lambda terms: drawn.append(terms.where("h IS NOT NULL AND id = 1").count()) or draw(terms))
+    both = {r["id"]: (r["codes0"], r["codes1"]) for r in fingerprints.samples(df, ["id"], "a", "b").collect()}
+    alone = [{r["id"]: r["codes"] for r in fingerprints.samples(df, ["id"], c).collect()} for c in "ab"]
+    assert both == {k: (alone[0][k], alone[1][k]) for k in range(1, 7)}
+    assert drawn[0] == drawn[1] == 56 * fingerprints.SAMPLES // fingerprints.AT_ONCE
+
+
 def test_code_of_fingerprints_stays_below_the_limit_of_the_compiler(spark):
     """Java leaves methods above 8000 bytes uncompiled, which is 20 times slower."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
